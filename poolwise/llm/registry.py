@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolwise.llm import exact_dedup
+from poolwise.llm import exact_dedup, pii
 from poolwise.llm.staging import ship
 
 
@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         name: _shipped(query)
         for name, query in {
             "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+            "op9_pii": pii.op9_pii,
         }.items()
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op8_exact_dedup": exact_dedup.ORACLE, "op9_pii": pii.ORACLE}
