@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolwise.llm import exact_dedup, pii
+from poolwise.llm import exact_dedup, near_dedup, packing, pii, toxicity
 from poolwise.llm.staging import ship
 
 
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: _shipped(query)
         for name, query in {
+            "op5_bagminhash": near_dedup.op5_bagminhash,
+            "op6_hilbert_pack": packing.op6_hilbert_pack,
+            "op7_toxicity": toxicity.op7_toxicity,
             "op8_exact_dedup": exact_dedup.op8_exact_dedup,
             "op9_pii": pii.op9_pii,
         }.items()
