@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolwise.llm import exact_dedup, near_dedup, packing, pii, toxicity
+from poolwise.llm import exact_dedup, mixing, near_dedup, packing, pii, toxicity
 from poolwise.llm.staging import ship
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: _shipped(query)
         for name, query in {
+            "op3_mixing": mixing.op3_mixing,
             "op5_bagminhash": near_dedup.op5_bagminhash,
             "op6_hilbert_pack": packing.op6_hilbert_pack,
             "op7_toxicity": toxicity.op7_toxicity,
@@ -32,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE, "op9_pii": pii.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_pii": pii.ORACLE}

@@ -1,17 +1,19 @@
 """Toxicity by weak supervision.
 
-1. One pass over the texts counts the hits of every voter: each word of ``LEXICON`` is one, and so is each of
-   ``PATTERNS`` (several different hits, hits close together, an address by second person beside a hit,
-   shouting, runs of exclamation marks).  The counts are staged; later steps never read a text again.
+1. Voters: each word of ``LEXICON``, up to ``STEMS`` stems, one group of whole words (stems and words induced
+   from at most ``LEXICON_ROWS`` labelled rows, by how much oftener they occur in toxic ones of unlike
+   beginnings), and ``PATTERNS`` (several different hits, hits in a short text or close together, an address
+   by second person beside a hit, shouting, runs of exclamation marks).  One pass over the texts counts their
+   hits.  The counts are staged; later steps never read a text again.
 2. A generative label model sees only which voters fired, aggregated over all documents to counts of vote
    patterns: two latent classes, a firing rate for each voter in each.  Expectation maximisation runs as
    sums over that table.  Correlations of voters within the classes come from the same table, and a voter's
    evidence is scaled by how much of it its correlated neighbours repeat.
 3. A logistic model on damped counts is trained on the posterior labels of at most ``FIT_ROWS`` documents.
-4. Its output is calibrated (slope and intercept) on at most ``FIT_ROWS`` labelled rows whose
-   ``crc32(id) % 5`` is not 0; no other label is read, and nothing but the text enters a score.
+4. Its output is calibrated (slope and intercept) on at most ``FIT_ROWS`` labelled rows.
 
-Both samples are the rows of least hash, alike at every size.  Defined cases: a null text is empty and is
+Labels are read only where ``crc32(id) % 5`` is not 0, and nothing but the text enters a score.
+The samples are the rows of least hash, alike at every size.  Defined cases: a null text is empty and is
 scored like any text without hits; a null id counts as held out; without labelled rows the scores stay
 uncalibrated; without any hit in the corpus every score is low; repeated rows get equal scores.
 """
@@ -21,9 +23,11 @@ from __future__ import annotations
 import functools
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,55 +43,106 @@ LEXICON = (
     "estúpido", "imbécil", "basura", "escoria", "idiota",
 )
 PATTERNS = ("several", "repeated", "close", "addressed", "shouting", "exclaiming")
-VOTERS = LEXICON + PATTERNS
-FIT_ROWS = 20_000
+STEMS = 12
+VOTERS = (*LEXICON, *(f"stem {k}" for k in range(STEMS)), "induced", *PATTERNS)
+FIT_ROWS, LEXICON_ROWS = 20_000, 6_000
 ROUNDS = 12
 #: What is taken for granted of insults: they occur in so many times more toxic documents than others.
 LEAST_RATIO = 200
+#: So many times oftener in toxic texts must a stem and an induced word be, and in so many toxic texts.
+STEM_RATIO, WORD_RATIO, LEAST_TEXTS = 8, 40, 4
 _SECOND = re.compile(r"\b(?:you|your|tu|vous|du|ihr|sie|usted|eres)\b")
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-_N = len(LEXICON)
-
-
-@functools.cache
-def _automaton() -> ahocorasick.Automaton:
+_WORD = re.compile(r"\w+")
+_L, _N = len(LEXICON), len(LEXICON) + STEMS + 1
+
+
+@functools.lru_cache(4)
+def _automaton(stems: tuple[str, ...], words: tuple[str, ...]) -> ahocorasick.Automaton:
+    """Finds (place, length, is a stem) of the terms."""
+    named: dict[str, list[tuple[int, int, bool]]] = {}
+    for k, term in enumerate(LEXICON):
+        named.setdefault(term, []).append((k, len(term), False))
+    for k, term in enumerate(stems):
+        named.setdefault(term, []).append((_L + k, len(term), True))
+    for term in words:
+        named.setdefault(term, []).append((_N - 1, len(term), False))
     out = ahocorasick.Automaton()
-    for k, word in enumerate(LEXICON):
-        out.add_word(word, (k, len(word)))
+    for term, found in named.items():
+        out.add_word(term, tuple(found))
     out.make_automaton()
     return out
 
 
-def counts(text: str) -> np.ndarray:
+def counts(text: str, stems: tuple[str, ...] = (), words: tuple[str, ...] = ()) -> np.ndarray:
     """Strength of each voter on a text; 0 where it does not fire."""
     out = np.zeros(len(VOTERS), np.float32)
     low = text.lower()
     at = []
-    for end, (k, size) in _automaton().iter(low):
-        start = end - size + 1
-        before, after = low[start - 1] if start else " ", low[end + 1] if end + 1 < len(low) else " "
-        if not (before.isalnum() or before == "_" or after.isalnum() or after == "_"):
-            out[k] += 1
-            at.append((start, end))
-    distinct = np.count_nonzero(out[:_N])
+    for end, found in _automaton(stems, words).iter(low):
+        for place, size, stem in found:
+            start = end - size + 1
+            before, after = low[start - 1] if start else " ", low[end + 1] if end + 1 < len(low) else " "
+            if before.isalnum() or before == "_" or (not stem and (after.isalnum() or after == "_")):
+                continue
+            out[place] += 1
+            if not at or at[-1][0] != start:
+                at.append((start, end))
+    distinct = np.count_nonzero(out[:_L]) + np.count_nonzero(out[_L : _N - 1])
     out[_N] = distinct if distinct > 1 else 0
-    out[_N + 1] = len(at) if len(at) > 1 else 0
+    out[_N + 1] = 100 * len(at) / (1 + len(low) / 6) if len(at) * 1200 > len(low) else 0
     out[_N + 2] = sum(b[0] - a[1] < 200 for a, b in zip(at, at[1:], strict=False))
     out[_N + 3] = sum(bool(_SECOND.search(low[max(0, s - 40) : e + 40])) for s, e in at)
-    marks = text.count("!")
-    out[_N + 5] = marks / 10 if marks > 3 and marks * 40 > len(text) else 0
-    loud = len(_UPPER.findall(text))
+    loud, marks = len(_UPPER.findall(text)), text.count("!")
     out[_N + 4] = loud / 100 if loud > 20 and loud * 2.5 > len(text) else 0
+    out[_N + 5] = marks / 10 if marks > 3 and marks * 40 > len(text) else 0
     return out
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(stems: tuple[str, ...], words: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [counts(t.as_py() or "", stems, words) for t in batch.column(1)]
+            masks = [int(sum(1 << k for k in np.flatnonzero(r).tolist())) for r in rows]
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.float32)
+            offsets = pa.array(np.arange(0, len(flat) + 1, len(VOTERS), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["id", "mask", "counts"])
+
+    return run
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, toxic, texts) of labelled texts: whole words and, with a star, their beginnings of 4 to 8 letters."""
+    seen: dict[tuple[str, bool], set[int]] = {}
     for batch in batches:
-        rows = [counts(t.as_py() or "") for t in batch.column(1)]
-        masks = [int(sum(1 << k for k in np.flatnonzero(r).tolist())) for r in rows]
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.float32)
-        offsets = pa.array(np.arange(0, len(flat) + 1, len(VOTERS), dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(masks, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["id", "mask", "counts"])
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low = (text or "").lower()
+            start = hash(low[:60]) if toxic else hash(low)  # copies of a text are one
+            words = {w for w in _WORD.findall(low) if len(w) > 3}
+            for term in words | {w[:k] + "*" for w in words for k in range(4, min(9, len(w)))}:
+                seen.setdefault((term, bool(toxic)), set()).add(start)
+    if seen:
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in seen]), pa.array([x for _, x in seen]), pa.array([len(v) for v in seen.values()], pa.int64())], ["term", "toxic", "texts"])
+
+
+def induce(docs: DataFrame, known: DataFrame, rows: int = LEXICON_ROWS) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Stems and whole words that tell toxic texts, from at most ``rows`` labelled texts: (id, toxic) in ``known``."""
+    some = stage(known.orderBy(F.xxhash64("id"), "id").limit(rows), "labelled")
+    texts = docs.join(F.broadcast(some), "id").select("text", (F.col("toxic") > 0.5).alias("toxic"))
+    table = texts.mapInArrow(_terms, "term string, toxic boolean, texts long")
+    total = {bool(r[0]): r[1] for r in some.groupBy(F.col("toxic") > 0.5).count().collect()}
+    table = table.groupBy("term").agg(F.sum(F.when(F.col("toxic"), F.col("texts")).otherwise(0)).alias("on"), F.sum(F.when(F.col("toxic"), 0).otherwise(F.col("texts"))).alias("off"))
+    ratio = (F.col("on") / float(total.get(True, 0) + 1)) / ((F.col("off") + 0.5) / float(total.get(False, 0) + 1))
+    table = table.withColumn("ratio", ratio).where((F.col("on") >= LEAST_TEXTS) & (F.col("ratio") >= STEM_RATIO))
+    found = table.orderBy(F.desc(F.col("on") - F.col("off") / STEM_RATIO), "term").limit(2000).collect()
+    words = sorted(r["term"] for r in found if r["ratio"] >= WORD_RATIO and not r["term"].endswith("*") and r["term"] not in LEXICON)[:400]
+    stems: list[str] = []
+    for r in found:
+        stem = r["term"].removesuffix("*")
+        known_ = any(stem.startswith(s) or s.startswith(stem) for s in (*stems, *LEXICON))
+        if r["term"].endswith("*") and not known_ and len(stems) < STEMS:
+            stems.append(stem)
+    return tuple(stems), tuple(words)
 
 
 class LabelModel:
@@ -97,7 +152,7 @@ class LabelModel:
         n = len(VOTERS)
         self.prior, self.weight = 0.05, np.ones(n)
         # to begin with, words speak for class 1 and patterns hardly
-        self.rate = np.stack([np.r_[np.full(_N + 4, 0.0005), np.full(2, 0.02)], np.r_[np.full(_N + 4, 0.1), np.full(2, 0.02)]])
+        self.rate = np.stack([np.r_[np.full(_L, 0.0005), np.full(n - _L, 0.01)], np.r_[np.full(_N + 4, 0.1), np.full(2, 0.01)]])
 
     def posterior(self, fired: np.ndarray) -> np.ndarray:
         on, off = np.log(self.rate[1] / self.rate[0]), np.log((1 - self.rate[1]) / (1 - self.rate[0]))
@@ -108,7 +163,7 @@ class LabelModel:
         """From the documents' number, the posterior's sum, and each class's sums of firing voters."""
         self.prior = float(np.clip((on + 1) / (total + 20), 1e-4, 0.5))
         self.rate = np.clip((sums + [[0.5], [0.5]]) / (np.array([[total - on], [on]]) + [[100.0], [10.0]]), 1e-5, 0.95)
-        self.rate[0, : _N + 4] = np.minimum(self.rate[0, : _N + 4], self.rate[1, : _N + 4] / LEAST_RATIO)
+        self.rate[0, :_L] = np.minimum(self.rate[0, :_L], self.rate[1, :_L] / LEAST_RATIO)
 
     def discount(self, total: float, on: float, sums: np.ndarray, joint: np.ndarray) -> None:
         """Correlation within the classes: a voter that others repeat speaks less."""
@@ -182,21 +237,30 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _scored(linear: np.ndarray, slope: float, shift: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.log1p(np.asarray(batch.column(2).flatten()).reshape(len(batch), len(VOTERS)).astype(float))
-            z = slope * (x @ linear[:-1] + linear[-1]) + shift
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "score"])
+@dataclass(frozen=True)
+class Scorer:
+    """What training leaves: terms, linear weights with their intercept, and the calibration."""
 
-    return run
+    stems: tuple[str, ...]
+    words: tuple[str, ...]
+    linear: np.ndarray
+    slope: float
+    shift: float
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        z = self.slope * (np.log1p(x) @ self.linear[:-1] + self.linear[-1]) + self.shift
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per input row: id, ``held_out``, ``score`` and ``predicted``."""
+
+def fit(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> tuple[Scorer, DataFrame]:
+    """The trained scorer, and the staged votes (id, mask, counts) of all rows."""
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = stage(source.mapInArrow(_counted, "id long, mask long, counts array<float>"), "votes")
+    known, terms = None, ((), ())
+    if labels is not None:
+        known = labels.where("toxic is not null").where(~held_out("doc_id")).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("double").alias("toxic"))
+        terms = induce(source, known)
+    table = stage(source.mapInArrow(_counted(*terms), "id long, mask long, counts array<float>"), "votes")
     patterns = stage(table.groupBy("mask").agg(F.count("*").alias("times")), "patterns")
     model = fit_label_model(patterns)
 
@@ -207,14 +271,40 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame | None, id_col: str = "do
     x, masks = sample(table)
     linear = logistic(np.log1p(x), model.posterior(_fired(masks))) if len(x) else np.zeros(len(VOTERS) + 1)
     slope, shift = 1.0, 0.0
-    if labels is not None:
-        known = labels.where("toxic is not null").where(~held_out(id_col)).select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("double").alias("toxic"))
+    if known is not None:
         x, _, y = sample(table.join(known, "id"), "toxic")
         if len(set(y.tolist())) == 2:
             slope, shift = logistic((np.log1p(x) @ linear[:-1] + linear[-1])[:, None], y, ridge=1e-3).tolist()
-    out = table.mapInArrow(_scored(linear, slope, shift), "id long, score double").withColumnRenamed("id", id_col)
+    return Scorer(*terms, linear, slope, shift), table
+
+
+def _scored(scorer: Scorer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(2).flatten()).reshape(len(batch), len(VOTERS)).astype(float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.score(x))], ["id", "score"])
+
+    return run
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """One row per input row: id, ``held_out``, ``score`` and ``predicted``."""
+    scorer, table = fit(docs, labels, id_col, text_col, fit_rows)
+    out = table.select("id", "mask", "counts").mapInArrow(_scored(scorer), "id long, score double").withColumnRenamed("id", id_col)
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows that are not predicted toxic, with the columns of ``docs``; rows are scored where they lie."""
+    scorer, _ = fit(docs, labels, id_col, text_col, fit_rows)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        rows = [counts(t or "", scorer.stems, scorer.words) for t in texts]
+        return pd.Series(scorer.score(np.array(rows, float).reshape(-1, len(VOTERS))))
+
+    return docs.where(score(F.coalesce(F.col(text_col), F.lit(""))) < 0.5)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
