@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolwise.llm import exact_dedup, mixing, near_dedup, packing, pii, toxicity
+from poolwise.llm import exact_dedup, media, mixing, near_dedup, packing, pii, site_tree, toxicity
 from poolwise.llm.staging import ship
 
 
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: _shipped(query)
         for name, query in {
+            "op1_site_style_tree": site_tree.op1_site_style_tree,
+            "op2_progressive_jpeg": media.op2_progressive_jpeg,
             "op3_mixing": mixing.op3_mixing,
             "op5_bagminhash": near_dedup.op5_bagminhash,
             "op6_hilbert_pack": packing.op6_hilbert_pack,
