@@ -5,9 +5,10 @@ pages, its styles (sequences of children) and its texts, as hashes.  The importa
 is, of its presentation, the entropy of its styles to the base m; of its content, one less the mean of
 log_m(pages with the same text) over its texts; together, (1 - g**l) of the former and g**l of the latter,
 with l styles and g = 0.9.  Hosts of few pages lean on the same branch over all hosts, in the proportion of
-``PRIOR_PAGES`` to their own.  Pass two drops, from every page, branches of low importance, and those whose
-element or name says that they are no part of an article; branches below an ``article`` or ``main`` element
-are dropped only for what they are called.
+``PRIOR_PAGES`` to their own.  Pass two drops, from every page, branches that hold text of low importance
+(below ``THRESHOLD`` of the host's most important one, which therefore stays, and found on ``LEAST_PAGES``
+pages or more), and those whose element or name says that they are no part of an article; branches below an
+``article`` or ``main`` element are dropped only for what they are called.
 
 All counts are grouped by branch and text before they are grouped by branch, so a host with a third of all
 pages is spread over its texts.  What pass two needs of a host is the list of its unimportant branches.
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from poolwise.llm.dom import Element, walk
 from poolwise.llm.staging import ship, small, stage
 
-GAMMA, THRESHOLD, PRIOR_PAGES = 0.9, 0.4, 30
+GAMMA, THRESHOLD, PRIOR_PAGES = 0.9, 0.75, 30
+#: A branch of fewer pages of a host is not dropped for its importance.
+LEAST_PAGES = 8
 #: Elements, and words in a class or id, that are no part of an article.
 _NO_TAGS = frozenset("head nav aside footer form menu dialog select button".split())
 _NO_NAMES = re.compile(
@@ -79,7 +82,7 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _importance(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, branch, m, importance), from counts by (keys, branch, kind, hash)."""
+    """(keys, branch, m, whether it holds text itself, importance), from counts by (keys, branch, kind, hash)."""
     n = F.col("pages")
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     own = counts.groupBy(*keys, "branch").agg(
@@ -91,17 +94,17 @@ def _importance(counts: DataFrame, keys: list[str]) -> DataFrame:
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
     below = own.where("texts > 0").select(*keys, F.explode(above).alias("branch"), "texts", "text_log")
     below = below.groupBy(*keys, "branch").agg(F.sum("texts").alias("texts"), F.sum("text_log").alias("text_log"))
-    rows = own.drop("texts", "text_log").where("m > 0").join(below, [*keys, "branch"], "left")
+    rows = own.withColumn("direct", F.col("texts") > 0).drop("texts", "text_log").where("m > 0").join(below, [*keys, "branch"], "left")
     base = F.log(F.greatest(F.col("m"), F.lit(2)))
     style = F.when(F.col("m") > 1, (F.log(F.col("style_n")) - F.col("style_log") / F.col("style_n")) / base).otherwise(1.0)
     content = F.when(F.col("m") > 1, 1 - F.col("text_log") / F.col("texts") / base).otherwise(1.0)
     fade = F.pow(F.lit(GAMMA), F.col("styles"))
     both = (1 - fade) * F.least(style, F.lit(1.0)) + fade * F.greatest(F.coalesce(content, F.lit(0.0)), F.lit(0.0))
-    return rows.select(*keys, "branch", "m", both.alias("importance"))
+    return rows.select(*keys, "branch", "m", F.coalesce("direct", F.lit(False)).alias("direct"), both.alias("importance"))
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, branch, m, importance) of every branch; ``importance`` already leans on all hosts where pages are few."""
+    """(host, branch, m, direct, importance) of every branch; ``importance`` already leans on all hosts where pages are few."""
     ship(pages.sparkSession)
     source = pages.select(F.lit(None).cast("long").alias("id"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     seen = source.mapInArrow(_observe, "host string, branch string, kind int, hash long, pages long")
@@ -111,7 +114,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     everywhere = stage(_importance(everywhere, []).select("branch", F.col("importance").alias("general")), "general")
     rows = own.join(small(everywhere), "branch")
     mean = (F.col("importance") * F.col("m") + F.col("general") * PRIOR_PAGES) / (F.col("m") + PRIOR_PAGES)
-    return rows.select("host", "branch", "m", mean.alias("importance"))
+    return rows.select("host", "branch", "m", "direct", mean.alias("importance"))
 
 
 def main_text(source: str | None, dropped: frozenset[str] | set[str] = frozenset()) -> str:
@@ -136,9 +139,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: id, url, ``text`` and ``n_chars``."""
-    tree = style_tree(pages, url_col, html_col)
-    # a branch that is dropped with one above it need not be listed; neither need those that hold the whole page
-    low = tree.where((F.col("importance") < threshold) & (F.col("m") > 1) & ~F.col("branch").isin("/html", "/html/body"))
+    tree = stage(style_tree(pages, url_col, html_col).where("direct"), "tree")
+    best = tree.groupBy("host").agg(F.max("importance").alias("best"))
+    low = tree.join(small(stage(best, "best")), "host").where((F.col("importance") < threshold * F.col("best")) & (F.col("m") >= LEAST_PAGES))
     lists = stage(low.groupBy("host").agg(F.sort_array(F.collect_set("branch")).alias("dropped")), "dropped")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     rows = rows.join(small(lists), "host", "left").select("id", "url", "html", "dropped")
