@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolwise.llm import exact_dedup, media, mixing, near_dedup, packing, pii, site_tree, toxicity
+from poolwise.llm import exact_dedup, media, mixing, near_dedup, packing, pii, revisits, site_tree, toxicity
 from poolwise.llm.staging import ship
 
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "op1_site_style_tree": site_tree.op1_site_style_tree,
             "op2_progressive_jpeg": media.op2_progressive_jpeg,
             "op3_mixing": mixing.op3_mixing,
+            "op4_revisits": revisits.op4_revisits,
             "op5_bagminhash": near_dedup.op5_bagminhash,
             "op6_hilbert_pack": packing.op6_hilbert_pack,
             "op7_toxicity": toxicity.op7_toxicity,
@@ -35,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_pii": pii.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op4_revisits": revisits.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE, "op9_pii": pii.ORACLE}
