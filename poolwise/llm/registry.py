@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolwise.llm import exact_dedup, media, mixing, near_dedup, packing, pii, revisits, site_tree, toxicity
+from poolwise.llm import exact_dedup, media, mixing, near_dedup, packing, pii, pseudo_lm, revisits, site_tree, toxicity
 from poolwise.llm.staging import ship
 
 
@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             "op7_toxicity": toxicity.op7_toxicity,
             "op8_exact_dedup": exact_dedup.op8_exact_dedup,
             "op9_pii": pii.op9_pii,
+            "op10_pseudo_likelihood": pseudo_lm.op10_pseudo_likelihood,
         }.items()
     }
 
