@@ -34,13 +34,17 @@ from poolwise.llm.staging import ship, small, stage
 GAMMA, THRESHOLD, PRIOR_PAGES = 0.9, 0.75, 30
 #: A branch of fewer pages of a host is not dropped for its importance.
 LEAST_PAGES = 8
-#: Elements, and words in a class or id, that are no part of an article.
+#: Elements, and words in a class or id, that are no part of an article, inside of one and outside.
 _NO_TAGS = frozenset("head nav aside footer form menu dialog select button".split())
-_NO_NAMES = re.compile(
-    r"(?:^|[.\-_])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|notice|cookies?|consent|banner|popup|modal|"
-    r"newsletter|subscribe|ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|form|search|login|signup|"
-    r"comments?|commentlist|replies|reply|disqus|share|sharing|social|related|recommended|pagination|pager|copyright|legal)(?=$|[.\-_0])"
+_INSIDE = (
+    r"[a-z]*nav|navbar|navigation|[a-z]*menu|breadcrumbs?|[a-z]*sidebar|aside|widget|cookies?|consent|popup|modal|newsletter|subscribe|"
+    r"ads?|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|form|"
+    r"[a-z]*comments?|commentlist|commentform|replies|reply|disqus|share|sharing|social|related|recommended|pagination|pager"
 )
+_OUTSIDE = _INSIDE + r"|[a-z]*header|masthead|[a-z]*footer|side|notice|notices|alert|banner|search|login|signup|copyright|legal"
+_NAMED = {
+    inside: re.compile(rf"(?:^|[._]|(?<!has)(?<!with)(?<!no)(?<!without)-)(?:{words})(?=$|[.\-_0])") for inside, words in ((True, _INSIDE), (False, _OUTSIDE))
+}
 _ARTICLE = frozenset("article main".split())
 
 
@@ -122,7 +126,7 @@ def main_text(source: str | None, dropped: frozenset[str] | set[str] = frozenset
 
     def enter(parent: Element | None, tag: str, name: str, path: str) -> tuple[bool, bool]:
         gone, inside = parent.state if parent else (False, False)
-        if gone or tag in _NO_TAGS or (tag == "header" and not inside) or (name != tag and tag not in ("html", "body", "article", "main") and _NO_NAMES.search(name[len(tag) + 1 :])):
+        if gone or tag in _NO_TAGS or (tag == "header" and not inside) or (name != tag and tag not in ("html", "body", "article", "main") and _NAMED[inside].search(name[len(tag) + 1 :])):
             return True, inside
         inside = inside or tag in _ARTICLE
         return not inside and path in dropped, inside
