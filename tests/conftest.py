@@ -12,7 +12,7 @@ os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, os.environ.get("PYT
 def spark():
     from poolwise.session import local_session
 
-    session = local_session(4, 4)
+    session = local_session(int(os.environ.get("TEST_CPUS", "4")), 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
