@@ -72,6 +72,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [keys.slice(first, at - first), unnamed.slice(first, at - first), pa.array(same), pa.array(filled), lists],
                 ["key", "unnamed", "same", "filled", "bands"],
             )
+    shingles.forget()
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> float:

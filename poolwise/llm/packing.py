@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolwise.llm.staging import ship, stage
-from poolwise.llm.tokens import VOCABULARY, encoder
+from poolwise.llm.tokens import VOCABULARY, encoder, id_type
 
 LENGTH = 1024
 DIMS, BITS, HASHED = 4, 12, 1024
@@ -74,7 +74,7 @@ def curve_keys(ids: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
     return hilbert(cells)
 
 
-def _tokenized(vocabulary: str, length: int, seed: int):
+def _tokenized(vocabulary: str, length: int, seed: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, matrix = encoder(vocabulary), projection(seed)
         for batch in batches:
@@ -82,7 +82,7 @@ def _tokenized(vocabulary: str, length: int, seed: int):
                 part = batch.slice(at, 64)
                 ids = [np.append(coder.ids(t.as_py() or ""), np.uint32(0)).astype("<u4") for t in part.column(1)]
                 heads = [[zlib.crc32(i[k : k + length].tobytes()) for k in range(0, len(i) - length + 1, length)] for i in ids]
-                tails = [i[len(i) // length * length :].astype("<u2" if coder.size <= 1 << 16 else "<u4").tobytes() for i in ids]
+                tails = [i[len(i) // length * length :].astype(kind).tobytes() for i in ids]
                 out = [part.column(0), pa.array(curve_keys(ids, matrix)), pa.array([len(i) for i in ids], pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, ["id", "key", "tokens", "heads", "tail"])
 
@@ -92,9 +92,8 @@ def _tokenized(vocabulary: str, length: int, seed: int):
 _PIECE = pa.schema([(n, pa.int64()) for n in ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key")])
 
 
-def _packed(vocabulary: str, length: int):
+def _packed(length: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = "<u2" if encoder(vocabulary).size <= 1 << 16 else "<u4"
         sequence, offset = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             rows = []
@@ -116,12 +115,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """One row per piece: id, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``, ``curve_key``."""
     ship(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    table = stage(source.mapInArrow(_tokenized(vocabulary, length, seed), "id long, key long, tokens long, heads array<long>, tail binary"), "tokens")
+    table = stage(source.mapInArrow(_tokenized(vocabulary, length, seed, id_type(vocabulary)), "id long, key long, tokens long, heads array<long>, tail binary"), "tokens")
     left = table.agg(F.sum(F.col("tokens") % length)).first()[0] or 0
     ranges = max(1, -(-left // PER_RANGE))
     tails = table.where(F.col("tokens") % length > 0).select("id", "key", "tokens", "tail")
     tails = tails.repartitionByRange(ranges, "key", "id", "tokens").sortWithinPartitions("key", "id", "tokens", "tail")
-    pieces = tails.mapInArrow(_packed(vocabulary, length), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long")
+    pieces = tails.mapInArrow(_packed(length, id_type(vocabulary)), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long")
     heads = table.where(F.size("heads") > 0).select("id", "key", "tokens", F.posexplode("heads").alias("nth", "crc"))
     whole = heads.select(
         "id",

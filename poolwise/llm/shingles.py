@@ -22,7 +22,7 @@ class _WordHashes(dict):
     """The eight bytes of each word's hash; emptied when it holds too many words."""
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         out = self[word] = xxhash.xxh64_digest(word)
         return out
@@ -31,6 +31,11 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
+def forget() -> None:
+    """Give back the memory of word hashes; for the end of a task, as workers live on."""
+    _WORDS.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose result bits look random (the splitmix64 finaliser)."""
     x = x + _GOLD

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import os
 import re
 
@@ -28,7 +29,7 @@ class Pieces(dict):
         self.encode = encode
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         out = np.array(self.encode(piece), "<u4").tobytes()
         if len(piece) < 40:
@@ -36,16 +37,25 @@ class Pieces(dict):
         return out
 
 
+@functools.cache
+def special_tokens(vocabulary: str) -> tuple[int, tuple[str, ...]]:
+    """The number of ids, and the strings of special tokens; the file's text is not kept."""
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as file:
+        described = json.load(file)
+    added = described.get("added_tokens", [])
+    return max([*described["model"]["vocab"].values(), *(t["id"] for t in added)]) + 1, tuple(t["content"] for t in added)
+
+
+def id_type(vocabulary: str) -> str:
+    """The narrowest unsigned type, little-endian, that holds every id."""
+    return "<u2" if special_tokens(vocabulary)[0] <= 1 << 16 else "<u4"
+
+
 class Encoder:
     def __init__(self, vocabulary: str = VOCABULARY) -> None:
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        path = public_tokenizers.path(vocabulary)
-        self.slow = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-        self.size = self.slow.get_vocab_size()
-        ranks = path.removesuffix(".json") + ".tiktoken"
+        self.path = public_tokenizers.path(vocabulary)
+        self.special = special_tokens(vocabulary)[1]
+        ranks = self.path.removesuffix(".json") + ".tiktoken"
         self.pieces = None
         if os.path.exists(ranks):
             import tiktoken
@@ -56,6 +66,14 @@ class Encoder:
             self.whole = fast.encode_ordinary
             self.pieces = Pieces(fast.encode_ordinary)
 
+    @functools.cached_property
+    def slow(self):
+        """The tokenizer itself, loaded only for texts that need it."""
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit numbers, without special tokens added."""
         if self.pieces is None or any(s in text for s in self.special):
