@@ -79,9 +79,10 @@ def divide(children: DataFrame, parent: list[str], name: str) -> DataFrame:
 def budgets(leaves: DataFrame, share: float, max_epochs: int, weights: dict[str, dict[str, int]]) -> DataFrame:
     """Leaves (domain, lang, source, tokens) with ``budget``."""
     leaves = leaves.withColumn("supply", F.col("tokens") * max_epochs)
-    total = leaves.agg(F.floor(F.sum("tokens") * F.lit(share)).cast("long").alias("given"))
-    domains = leaves.groupBy("domain").agg(F.sum("supply").alias("supply")).withColumn("weight", _weight("domain", weights))
-    domains = divide(domains.join(F.broadcast(total)), [], "domain").select("domain", F.col("budget").alias("given"))
+    domains = leaves.groupBy("domain").agg(F.sum("supply").alias("supply"), F.sum("tokens").alias("tokens"))
+    total = F.floor(F.sum("tokens").over(Window.partitionBy(F.lit(0))) * F.lit(share)).cast("long")
+    domains = domains.withColumns({"weight": _weight("domain", weights), "given": total})
+    domains = divide(domains, [], "domain").select("domain", F.col("budget").alias("given"))
     langs = leaves.groupBy("domain", "lang").agg(F.sum("supply").alias("supply")).withColumn("weight", _weight("lang", weights))
     langs = divide(langs.join(domains, "domain"), ["domain"], "lang").select("domain", "lang", F.col("budget").alias("given"))
     rows = leaves.withColumn("weight", _weight("source", weights)).join(langs, ["domain", "lang"])
