@@ -6,8 +6,7 @@ is, of its presentation, the entropy of its styles to the base m; of its content
 log_m(pages with the same text) over its texts; together, (1 - g**l) of the former and g**l of the latter,
 with l styles and g = 0.9.  Hosts of few pages lean on the same branch over all hosts, in the proportion of
 ``PRIOR_PAGES`` to their own.  Pass two drops, from every page, branches that hold text of low importance
-(below ``THRESHOLD`` of the host's most important one, which therefore stays, and found on ``LEAST_PAGES``
-pages or more), and those whose element or name says that they are no part of an article; branches below an
+(below ``THRESHOLD`` of the host's most important one, which therefore stays, on however few pages), and those whose element or name says that they are no part of an article; branches below an
 ``article`` or ``main`` element are dropped only for what they are called.
 
 All counts are grouped by branch and text before they are grouped by branch, so a host with a third of all
@@ -32,8 +31,6 @@ from poolwise.llm.dom import Element, walk
 from poolwise.llm.staging import ship, small, stage
 
 GAMMA, THRESHOLD, PRIOR_PAGES = 0.9, 0.75, 30
-#: A branch of fewer pages of a host is not dropped for its importance.
-LEAST_PAGES = 8
 #: Elements, and words in a class or id, that are no part of an article, inside of one and outside.
 _NO_TAGS = frozenset("head nav aside footer form menu dialog select button".split())
 _INSIDE = (
@@ -145,7 +142,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """One row per input row: id, url, ``text`` and ``n_chars``."""
     tree = stage(style_tree(pages, url_col, html_col).where("direct"), "tree")
     best = tree.groupBy("host").agg(F.max("importance").alias("best"))
-    low = tree.join(small(stage(best, "best")), "host").where((F.col("importance") < threshold * F.col("best")) & (F.col("m") >= LEAST_PAGES))
+    low = tree.join(small(stage(best, "best")), "host").where(F.col("importance") < threshold * F.col("best"))
     lists = stage(low.groupBy("host").agg(F.sort_array(F.collect_set("branch")).alias("dropped")), "dropped")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     rows = rows.join(small(lists), "host", "left").select("id", "url", "html", "dropped")

@@ -37,6 +37,21 @@ def test_unnamed_boilerplate_is_learned(spark):
     assert got == expected
 
 
+def test_unnamed_boilerplate_of_small_hosts(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(500)]
+    menu = ["Home News Sport", "Imprint Contact", "All rights"]
+    rows, expected = [], {}
+    for host in range(42):
+        for _ in range(1 + host % 7):
+            k = len(rows)
+            expected[k] = "\n".join(" ".join(rng.choices(words, k=12)) for _ in range(3))
+            blocks = "".join(f"<p>{b}</p>" for b in expected[k].split("\n"))
+            rows.append((k, f"http://h{host}.org/{k}", f"<html><body><div class=top7>{menu[0]}</div><div class=text>{blocks}</div><div class=low>{menu[k % 3]}</div></body></html>"))
+    got = {r["page_id"]: r["text"] for r in site_tree.extract_main_text(pages_of(spark, rows)).collect()}
+    assert got == expected
+
+
 def test_awkward_pages(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://a.b/c", "<p>x"), (3, "http://a.b/c", "<p>x"), (None, "nonsense", "<article>" + "long text " * 20_000)]
     out = site_tree.extract_main_text(pages_of(spark, rows)).collect()
