@@ -125,17 +125,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share:
     return out.select(*docs.columns, *RESULT)
 
 
-def mixed_documents(docs: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """One epoch at most: the rows that are taken, with the columns of ``docs``; the text of a row that a
-    budget ends in is cut after its last token taken, and ``n_chars``, if there, is its new length."""
+def mixed_documents(docs: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, max_epochs: int = 1) -> DataFrame:
+    """The rows that are taken, with the columns of ``docs``: one copy for each whole epoch and one for the
+    prefix of the next.  The text of a copy that a budget ends in is cut after its last token taken, and
+    ``n_chars``, if there, is its new length."""
     hidden = {c: f"_in_{c}" for c in docs.columns if c in RESULT}
-    out = mix(docs.withColumnsRenamed(hidden), id_col, text_col, share, 1, None, seed).where("tokens_taken > 0")
-    parts = F.slice(F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1), F.lit(1), F.col("tokens_taken").cast("int"))
-    cut = F.col("tokens_taken") < F.col("n_tokens")
+    out = mix(docs.withColumnsRenamed(hidden), id_col, text_col, share, max_epochs, None, seed).where("tokens_taken > 0")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs") + F.when(F.col("prefix_tokens") > 0, 1).otherwise(0))))
+    taken = F.when(F.col("_copy") <= F.col("epochs"), F.col("n_tokens")).otherwise(F.col("prefix_tokens"))
+    parts = F.slice(F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1), F.lit(1), taken.cast("int"))
+    cut = taken < F.col("n_tokens")
     out = out.withColumn(text_col, F.when(cut, F.array_join(parts, "")).otherwise(F.col(text_col)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(cut, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop(*RESULT).withColumnsRenamed({v: k for k, v in hidden.items()}).select(docs.columns)
+    return out.drop("_copy", *RESULT).withColumnsRenamed({v: k for k, v in hidden.items()}).select(docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from poolwise.llm import bagminhash, exact_dedup, jpeg, media, mixing, near_dedup, packing, pii, pseudo_lm, shingles, toxicity
 from poolwise.llm.components import components
 
@@ -239,6 +240,23 @@ def test_shortage_goes_to_siblings_first(spark):
     assert small == {"a": 10, "f": 899}
 
 
+def test_pipeline_mixes_to_the_target_weights(spark):
+    texts = [(k, " ".join(WORDS[k % 7 : k % 7 + 20])) for k in range(210)]
+    docs = documents(spark, texts, sources=("s0", "s1", "s2", "s2", "s3", "s3", "s3"))
+    out = corpus_pipeline.mixed(spark, docs, None)
+    assert out.columns == docs.columns
+    plan = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    copies, domains = defaultdict(list), Counter()
+    for r in out.collect():
+        copies[r["doc_id"]].append(len(r["text"].split()))
+        domains["d" + r["source"][1]] += copies[r["doc_id"]][-1]
+        assert dict(texts)[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"])
+    total = sum(domains.values())
+    assert total == int(210 * 20 * mixing.SHARE) and all(abs(domains[d] - total * w / 7) <= 1 for d, w in (("d0", 3), ("d1", 2), ("d2", 1), ("d3", 1)))
+    for i, r in plan.items():
+        assert sorted(copies[i]) == sorted([20] * r["epochs"] + [r["prefix_tokens"]] * (r["prefix_tokens"] > 0))
+
+
 def test_toxicity(spark, awkward, empty):
     rng = random.Random(4)
     texts, labels = [], []
