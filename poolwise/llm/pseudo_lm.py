@@ -1,18 +1,24 @@
 """Documents scored by masked pseudo-likelihood.
 
 Tokens are words (runs of characters other than white space).  The ``FREQUENT`` commonest words of the
-corpus are classes of their own; others are classed by length, case and last character.  A window network
-predicts the class of every token from the two tokens on either side: embeddings of the inner neighbours
-(by group of class) and of the outer ones (coarser) add up to a hidden layer, a softmax follows.  A token's
-conditional log-probability is that of its class in its window plus that of the word in its class; their sum
-over the document, every token predicted from both sides, is its score.
-
-Three passes over the texts, none of which samples.  One counts words (the commonest become classes; all
-fall into hashed slots that give a word's share of its class).  One counts windows: contexts and targets are
-few, so the counts of all windows of the corpus are a table of bounded size, summed over the cluster.  On
-that table the network is trained in numpy with full batches, which is the same as training on every window
-of every document in every step.  Since contexts are few, its output for each is tabulated, and the last
-pass looks up what the network says.
+corpus are classes of their own; others are classed by length, case and last character, and each such class
+is divided by hash into members, the more the more distinct words there are.  A token's conditional
+log-probability is that of its class, of its member in the class, and of the word in the member: its own count
+by that of the member.  The first two depend on the words on either side; the sum over the document, every
+token predicted from both sides, is its score.
+
+A window network predicts the class: embeddings of the inner neighbours (by group of class) and of the outer
+ones (coarser) and of the four neighbouring words themselves add up to a hidden layer, a softmax follows.  A
+word's embedding is the sum of two hashed rows, whose number grows with the distinct words, so words that
+share one row are still told apart.  The member follows from the hidden layer of the groups and from random
+vectors of the inner neighbouring words, by the Gaussian discriminant of its means.
+
+Four passes over the texts, none of which samples.  One counts words.  One counts windows of groups: their
+counts are a table of bounded size, on which the network of groups is trained in numpy with full batches,
+which is the same as training on every window in every step.  One sums the gradient of every window by rows
+of words, and the means of members: the embeddings are a damped Newton step from the network of groups.  The
+last evaluates the network for every token.  Counts of the ``TABLE`` commonest words are sent to it; those of
+all others are joined.  Sums are of whole numbers, so they do not depend on their order.
 
 Defined cases: null, empty and blank texts have no tokens and the score 0 (per token: null); beyond the ends
 of a text stands a class of its own; repeated rows get equal scores; an empty corpus gives an empty result;
@@ -26,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +44,14 @@ CLASSES = 1 + FREQUENT + SHAPES
 #: Groups of classes by which an inner and an outer neighbour are told apart.
 INNER, OUTER = 32, 4
 SIDE = INNER * OUTER
-SLOTS = 1 << 16
+#: Most words whose counts are sent to the last pass; rows of random vectors, and their length.
+TABLE, RANDOM, WIDE = 1 << 16, 1 << 14, 16
+#: Windows that the prior of an embedding or mean is worth; units of one in sums of whole numbers.
+PRIOR, UNIT = 20.0, 1 << 12
+_BLOCK = 4096
+#: Odd factors that hash a word by its place beside the token: two for each place.
+_FACTORS = np.random.RandomState(3).randint(1 << 62, size=8, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_NEAR = (-1, 1, -2, 2)
 HIDDEN, EPOCHS, RATE, SEED = 24, 60, 0.03, 5
 _BATCH_CHARS = 1 << 20
 
@@ -173,8 +187,8 @@ def _features() -> np.ndarray:
     return np.concatenate([both[:, left], both[:, right] + INNER + OUTER]).T
 
 
-def train(counts: np.ndarray, epochs: int = EPOCHS, hidden: int = HIDDEN) -> np.ndarray:
-    """Log-probabilities (contexts, classes) of the network that fits the counts (contexts, classes), by Adam."""
+def train(counts: np.ndarray, epochs: int = EPOCHS, hidden: int = HIDDEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums before the hidden layer (contexts, hidden), and weights and bias of the softmax, of the network that fits the counts (contexts, classes), by Adam."""
     rng = np.random.RandomState(SEED)
     seen = counts.sum(1)
     used = np.flatnonzero(seen)
@@ -208,23 +222,197 @@ def train(counts: np.ndarray, epochs: int = EPOCHS, hidden: int = HIDDEN) -> np.
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return np.concatenate([layers(features[at : at + 4096])[1] for at in range(0, len(features), 4096)])
+    return params[0][features].sum(1) + params[1], params[2], params[3]
 
 
-def _score(frequent: np.ndarray, table: np.ndarray, within: np.ndarray):
+def member(words: np.ndarray, members: int) -> np.ndarray:
+    return ((words >> np.uint64(40)) % np.uint64(members)).astype(np.int64)
+
+
+def _flat(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in one row with gaps of two between them, and the places of the tokens."""
+    gap = np.zeros(2, np.uint64)
+    flat = np.concatenate([gap, *(x for w in words for x in (w, gap))])
+    inside = np.ones(len(flat), bool)
+    ends = np.cumsum([2, *(len(w) + 2 for w in words)])
+    inside[ends - 2] = inside[ends - 1] = False
+    return flat, np.flatnonzero(inside)
+
+
+def _row(words: np.ndarray, k: int, rows: int) -> np.ndarray:
+    return ((words * _FACTORS[k]) >> np.uint64(65 - rows.bit_length())).astype(np.int64)
+
+
+def _add(total: np.ndarray, at: np.ndarray, part: np.ndarray) -> None:
+    wide = total.shape[1]
+    np.add.at(total.reshape(-1), (at[:, None] * wide + np.arange(wide)).ravel(), part.ravel())
+
+
+def around(words: list[np.ndarray], rows: int, places: int = 4) -> np.ndarray:
+    """The two rows of each of the neighbouring words of every token; ``rows`` itself beyond the ends."""
+    flat, real = _flat(words)
+    out = np.empty((2 * places, len(real)), np.int64)
+    for k in range(len(out)):
+        slot = np.full(len(flat), rows)
+        slot[real] = _row(flat[real], k, rows)
+        out[k] = slot[real + _NEAR[k // 2]]
+    return out
+
+
+def _random() -> np.ndarray:
+    """Whole random vectors of rows, the last one zero."""
+    out = np.rint(np.random.RandomState(SEED).normal(0, 64, (RANDOM + 1, WIDE)))
+    out[RANDOM] = 0
+    return out.astype(np.float32)
+
+
+def beside(words: list[np.ndarray], random: np.ndarray) -> np.ndarray:
+    """Random vectors of the inner neighbours of every token."""
+    at = around(words, RANDOM, 2)
+    return np.concatenate([random[at[0]] + random[at[1]], random[at[2]] + random[at[3]]], 1)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def _sums(frequent: np.ndarray, before: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: int, members: int):
+    """(kind, row, count, sums): kind 0 gradients by rows of neighbouring words, 1 hidden layer and vectors by member, 2 squares of vectors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classify = Classes(frequent)
+        classify, random = Classes(frequent), _random()
+        hidden = np.tanh(before)
+        slope = 1 - hidden * hidden
+        pull = np.exp(_softmax(hidden @ weights + bias)) @ weights.T
+        whole = np.rint(hidden * UNIT).astype(np.float32)
+        wide = HIDDEN + 2 * WIDE
+        totals = {0: np.zeros((rows + 1, HIDDEN + 1)), 1: np.zeros((SHAPES * members, wide + 1)), 2: np.zeros((1, wide + 1))}
+        any_rows = False
+        for batch in batches:
+            for _, _, some in _parts(batch):
+                both = [tokens(t) for t in some]
+                context, target = windows([classify(*b) for b in both])
+                if not len(target):
+                    continue
+                any_rows = True
+                words = [b[0] for b in both]
+                flat, real = _flat(words)
+                step = np.zeros((len(flat), HIDDEN + 1))
+                step[real, :-1] = np.rint((weights.T[target] - pull[context]) * slope[context] * UNIT)
+                step[real, -1] = 1
+                order = real[np.argsort(flat[real])]
+                word, starts = np.unique(flat[order], return_index=True)
+                for k in range(4):  # what a word adds to the token that it stands beside
+                    part = np.add.reduceat(step[order - _NEAR[k]], starts)
+                    for j in (2 * k, 2 * k + 1):
+                        _add(totals[0], _row(word, j, rows), part)
+                rare = np.flatnonzero(target > FREQUENT)
+                x = np.concatenate([whole[context], beside(words, random), np.ones((len(target), 1), np.float32)], 1)[rare].astype(float)
+                of = (target[rare] - 1 - FREQUENT) * members + member(np.concatenate(words)[rare], members)
+                if len(rare):
+                    order = np.argsort(of)
+                    place, starts = np.unique(of[order], return_index=True)
+                    totals[1][place] += np.add.reduceat(x[order], starts)
+                    totals[2][0] += np.einsum("ij,ij->j", x, x)
+        for kind, total in totals.items() if any_rows else ():
+            used = np.flatnonzero(total[: rows if kind == 0 else None, -1])
+            for at in range(0, len(used), 20_000):
+                part = total[used[at : at + 20_000]].astype(np.int64)
+                sums = pa.FixedSizeListArray.from_arrays(pa.array(np.pad(part[:, :-1], ((0, 0), (0, wide + 1 - part.shape[1]))).ravel()), wide)
+                sums = pa.ListArray.from_arrays(np.arange(0, len(part) * wide + 1, wide, dtype=np.int32), sums.flatten())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(used[at : at + 20_000].astype(np.int64)), pa.array(part[:, -1]), sums], ["kind", "row", "n", "sums"])
+
+    return run
+
+
+def _embeddings(row: np.ndarray, n: np.ndarray, sums: np.ndarray, rows: int, before: np.ndarray, weights: np.ndarray, bias: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """One Newton step of all rows at once: by the mean curvature, and an eighth, since eight rows add up in each token."""
+    hidden = np.tanh(before)
+    p = np.exp(_softmax(hidden @ weights + bias))
+    curve = np.zeros((HIDDEN, HIDDEN))
+    for at in np.flatnonzero(seen):
+        w = weights * (1 - hidden[at] ** 2)[:, None]
+        mean = w @ p[at]
+        curve += seen[at] * ((w * p[at]) @ w.T - np.outer(mean, mean))
+    curve = curve / max(seen.sum(), 1)
+    curve += np.eye(HIDDEN) * (1e-6 + 0.05 * np.trace(curve) / HIDDEN)
+    out = np.zeros((rows + 1, HIDDEN), np.float32)
+    out[row] = (sums / UNIT / (n + PRIOR)[:, None]) @ np.linalg.inv(curve) / 8
+    return out
+
+
+def _discriminant(row: np.ndarray, n: np.ndarray, sums: np.ndarray, squares: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (classes, features, members) and bias (classes, members) of members, whose counts are ``shares`` (classes, members)."""
+    members, wide = shares.shape[1], HIDDEN + 2 * WIDE
+    total, count = np.zeros((SHAPES * members, wide)), np.zeros(SHAPES * members)
+    total[row], count[row] = sums, n
+    total, count = total.reshape(SHAPES, members, wide), count.reshape(SHAPES, members)
+    centre = total.sum(1) / np.maximum(count.sum(1), 1)[:, None]
+    spread = np.maximum(squares / max(count.sum(), 1) - (total.sum((0, 1)) / max(count.sum(), 1)) ** 2, 1.0)
+    off = (total - count[:, :, None] * centre[:, None]) / (count + PRIOR)[:, :, None]
+    weights = off / spread
+    bias = np.log(np.maximum(shares, 1e-9)) - 0.5 * (off * weights).sum(2) - (weights * centre[:, None]).sum(2)
+    return weights.transpose(0, 2, 1).astype(np.float32), bias.astype(np.float32)
+
+
+def _by_blocks(x: np.ndarray, weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-probability of outcome ``at`` of each row; always as many rows at once, so a row's value does not depend on its place."""
+    out = np.empty(len(x))
+    for k in range(0, len(x), _BLOCK):
+        part = x[k : k + _BLOCK]
+        held = np.zeros((len(part) + -len(part) % 256, x.shape[1]), np.float32)
+        held[: len(part)] = part
+        z = np.concatenate([held[j : j + 256] @ weights for j in range(0, len(held), 256)])[: len(part)] + bias
+        z -= z.max(1, keepdims=True)
+        mine = at[k : k + _BLOCK]
+        out[k : k + _BLOCK] = z[np.arange(len(part)), mine] - np.log(np.exp(z).sum(1))
+    return out
+
+
+def _score(frequent: np.ndarray, known: np.ndarray, log_n: np.ndarray, model: tuple[np.ndarray, ...]):
+    """``_key`` is the row's own; ``_rest`` are the words whose counts are yet to be joined."""
+    before, weights, bias, embeddings, member_weights, member_bias, log_members = model
+    rows, members = len(embeddings) - 1, log_members.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classify, random = Classes(frequent), _random()
+        hidden = np.rint(np.tanh(before) * UNIT).astype(np.float32)
+        key = TaskContext.get().partitionId() << 40
         for batch in batches:
             for first, end, some in _parts(batch):
                 both = [tokens(t) for t in some]
                 sizes = np.array([len(b[0]) for b in both])
+                of = np.repeat(np.arange(len(some)), sizes)
                 context, target = windows([classify(*b) for b in both])
-                words = np.concatenate([b[0] for b in both])
-                slot = np.where(target <= FREQUENT, 0.0, within[(words % np.uint64(SLOTS)).astype(np.int64)])
-                each = table[context, target] + slot
-                total = np.bincount(np.repeat(np.arange(len(some)), sizes), weights=each, minlength=len(some))
-                mean = pa.array(total / np.maximum(sizes, 1), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sizes.astype(np.int64)), pa.array(total), mean], ["id", "n_tokens", "score", "per_token"])
+                lists = [b[0] for b in both]
+                words = np.concatenate(lists)
+                slots = around(lists, rows)
+                pre = before[context]
+                for k in range(8):
+                    pre += embeddings[slots[k]]
+                each = _by_blocks(np.tanh(pre), weights, bias, target)
+                x = np.concatenate([hidden[context], beside(lists, random)], 1)
+                order = np.argsort(target, kind="stable")
+                edges = np.searchsorted(target[order], np.arange(1 + FREQUENT, CLASSES + 1))
+                for c in range(SHAPES):
+                    if edges[c] < edges[c + 1]:
+                        mine = order[edges[c] : edges[c + 1]]
+                        m = member(words[mine], members)
+                        each[mine] += _by_blocks(x[mine], member_weights[c], member_bias[c], m) - log_members[c, m]
+                at = np.minimum(np.searchsorted(known, words), max(len(known) - 1, 0))
+                found = known[at] == words if len(known) else np.zeros(len(words), bool)
+                rare = target > FREQUENT
+                each[rare & found] += log_n[at[rare & found]]
+                rest = rare & ~found
+                total = np.bincount(of, weights=each, minlength=len(some))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(of[rest], minlength=len(some)))]).astype(np.int32)
+                keys = pa.array(np.arange(key, key + len(some)))
+                key += len(some)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, end - first), pa.array(sizes.astype(np.int64)), pa.array(total), keys, pa.ListArray.from_arrays(ends, pa.array(words[rest].view(np.int64)))],
+                    ["id", "n_tokens", "score", "_key", "_rest"],
+                )
 
     return run
 
@@ -238,24 +426,51 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     words = stage(words, "words")
     top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    # the mean count of the rare words of a hashed slot stands for each of them: a table of fixed size
-    rare = words.join(F.broadcast(spark.createDataFrame([(r["word"],) for r in top], "word long")), "word", "left_anti")
-    slots = rare.groupBy(F.pmod(F.col("word"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.avg("n").alias("n")).toArrow()
-    within = np.zeros(SLOTS)
-    within[slots["slot"].to_numpy()] = np.log(slots["n"].to_numpy())
+    # the least count that no more than TABLE words reach
+    least, distinct = 1 << 62, 0
+    for r in sorted(words.groupBy("n").count().collect(), reverse=True):
+        distinct += r["count"]
+        least = r["n"] if distinct <= TABLE else least
+    known = words.where(F.col("n") >= least).orderBy("word").toArrow()
+    log_n, known = np.log(np.maximum(known["n"].to_numpy(), 1)), known["word"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(known)
+    log_n, known = log_n[order], known[order]
+    rows = 1 << min(max(distinct.bit_length() - 1, 10), 17)
+    members = 1 << max(4, int(distinct**0.5 / 16).bit_length())
+    rare = words.where(~F.col("word").isin([r["word"] for r in top])) if top else words
+    of = (F.shiftrightunsigned("word", 40) % members).alias("member")
+    found = rare.groupBy("shape", of).agg(F.sum("n").alias("n")).toArrow()
+    in_member = np.zeros((SHAPES, members))
+    in_member[found["shape"].to_numpy(), found["member"].to_numpy()] = found["n"].to_numpy()
     cells = source.mapInArrow(_count_windows(frequent), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SIDE * SIDE * CLASSES)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     counts = counts.reshape(-1, CLASSES)
-    table = train(counts, epochs)
-    # a word's share of its class of shapes is its count by that of the class
-    table[:, 1 + FREQUENT :] -= np.log(np.maximum(counts.sum(0)[1 + FREQUENT :], 1)).astype(np.float32)
-    model = spark.sparkContext.broadcast((table.astype(np.float32), within.astype(np.float32)))
+    network = train(counts, epochs)
+    wide = HIDDEN + 2 * WIDE
+    base = spark.sparkContext.broadcast(network)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sums(frequent, *base.value, rows, members)(batches)
+
+    added = source.mapInArrow(sums, "kind int, row long, n long, sums array<long>").groupBy("kind", "row")
+    added = added.agg(F.sum("n").alias("n"), *(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(wide))).toArrow()
+    kind, row, n = (added[c].to_numpy() for c in ("kind", "row", "n"))
+    total = np.stack([added[f"s{k}"].to_numpy() for k in range(wide)], 1).astype(float)
+    g, m, q = (kind == k for k in range(3))
+    embeddings = _embeddings(row[g], n[g], total[g, :HIDDEN], rows, *network, counts.sum(1))
+    shares = in_member / np.maximum(in_member.sum(1, keepdims=True), 1)
+    discriminant = _discriminant(row[m], n[m], total[m], total[q].sum(0), shares)
+    model = spark.sparkContext.broadcast((known, log_n, (*network, embeddings, *discriminant, np.log(np.maximum(in_member, 1)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _score(frequent, *model.value)(batches)
 
-    return source.mapInArrow(run, "id long, n_tokens long, score double, per_token double").withColumnRenamed("id", id_col)
+    scored = stage(source.mapInArrow(run, "id long, n_tokens long, score double, _key long, _rest array<long>"), "scored")
+    others = words.where((F.col("n") > 1) & (F.col("n") < least)).select("word", F.round(F.log("n") * (1 << 32)).cast("long").alias("_log"))
+    rest = scored.select("_key", F.explode("_rest").alias("word")).join(others, "word").groupBy("_key").agg(F.sum("_log").alias("_log"))
+    out = scored.drop("_rest").join(rest, "_key", "left").withColumn("score", F.col("score") + F.coalesce(F.col("_log"), F.lit(0)) / float(1 << 32))
+    return out.select(F.col("id").alias(id_col), "n_tokens", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("per_token"))
 
 
 def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

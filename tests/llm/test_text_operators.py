@@ -300,6 +300,29 @@ def test_pseudo_likelihood(spark, awkward, empty):
     assert pseudo_lm.pseudo_likelihood(empty).count() == 0
 
 
+def test_rare_words_are_told_apart_as_neighbours(spark, monkeypatch):
+    rng = random.Random(12)
+    pairs = [(f"left{k}q", f"next{k}q") for k in range(100, 140)]
+    common = [f"c{k}" for k in range(70)]
+
+    def text(pairs):
+        return " ".join(" ".join([*rng.sample(common, 3), *p]) for p in rng.sample(pairs, 20))
+
+    texts = [(k, text(pairs)) for k in range(200)]
+    swapped = [(a, pairs[(k + 7) % 40][1]) for k, (a, _) in enumerate(pairs)]  # the same words, other neighbours of the same shape
+    for k in range(200, 210):
+        state = rng.getstate()
+        texts.append((k, text(pairs)))
+        rng.setstate(state)
+        texts.append((k + 100, text(swapped)))
+    docs = documents(spark, texts)
+    rows = {r["doc_id"]: r["score"] for r in pseudo_lm.pseudo_likelihood(docs).collect()}
+    assert sum(rows[k] > rows[k + 100] + 1 for k in range(200, 210)) >= 9
+    monkeypatch.setattr(pseudo_lm, "TABLE", 80)  # counts by the join
+    joined = {r["doc_id"]: r["score"] for r in pseudo_lm.pseudo_likelihood(docs).collect()}
+    assert all(abs(joined[k] - rows[k]) < 1e-4 for k in rows)
+
+
 def test_window_counts_are_plain():
     rng = np.random.default_rng(0)
     texts = [rng.integers(1, pseudo_lm.CLASSES, n) for n in (0, 1, 2, 7, 30)]
