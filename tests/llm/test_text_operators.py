@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,7 +296,10 @@ def test_pseudo_likelihood(spark, awkward, empty):
     mixed = [rows[k]["per_token"] for k in range(40, 60)]
     assert min(ordered) > max(mixed) and len(set(ordered)) == 1
     assert all(r["n_tokens"] == 120 and abs(r["score"] - 120 * r["per_token"]) < 1e-6 for r in rows.values())
+    apart = {r["doc_id"]: r["score"] for r in pseudo_lm.pseudo_likelihood(documents(spark, texts).repartition(11)).collect()}
+    assert all(abs(apart[k] - rows[k]["score"]) < 1e-3 for k in apart)
     odd = pseudo_lm.pseudo_likelihood(awkward).collect()
+    assert all(r["score"] <= 0 for r in odd)
     assert len(odd) == awkward.count() and all((r["score"], r["per_token"]) == (0, None) for r in odd if r["doc_id"] in (4, 5, 6))
     assert pseudo_lm.pseudo_likelihood(empty).count() == 0
 
@@ -323,21 +327,106 @@ def test_rare_words_are_told_apart_as_neighbours(spark, monkeypatch):
     assert all(abs(joined[k] - rows[k]) < 1e-4 for k in rows)
 
 
+def plain_words(rng, sizes):
+    return [rng.integers(1, 1 << 62, n).astype(np.uint64) % np.uint64(90) * np.uint64(0x9E3779B97F4A7C15) for n in sizes]
+
+
 def test_window_counts_are_plain():
     rng = np.random.default_rng(0)
-    texts = [rng.integers(1, pseudo_lm.CLASSES, n) for n in (0, 1, 2, 7, 30)]
-    context, target = pseudo_lm.windows(texts)
+    texts = plain_words(rng, (0, 1, 2, 7, 300))
+    classify = pseudo_lm.Classes(np.unique(np.concatenate(texts))[:40])
+    w = pseudo_lm.Windows(texts, classify)
     expected = []
     for t in texts:
-        padded = np.r_[0, 0, t, 0, 0]
+        c = classify(t)
+        padded = np.r_[0, 0, c, 0, 0]
         near, far = pseudo_lm.inner_group(padded), pseudo_lm.outer_group(padded)
         for k in range(2, len(padded) - 2):
             left, right = near[k - 1] * 4 + far[k - 2], near[k + 1] * 4 + far[k + 2]
             expected.append((left * pseudo_lm.SIDE + right, padded[k]))
-    assert list(zip(context.tolist(), target.tolist(), strict=True)) == [(int(a), int(b)) for a, b in expected]
+    assert list(zip(w.context.tolist(), w.target.tolist(), strict=True)) == [(int(a), int(b)) for a, b in expected]
     assert pseudo_lm.inner_group(np.arange(pseudo_lm.CLASSES)).max() < pseudo_lm.INNER
 
 
+def test_tokens_are_those_of_split():
+    texts = ["a  b c d \x1c e\n", "", " \n", "xyz", "Ünïcode 🙂 text\u00a0x\u2003y", "w " * 50_000, "q" * 700_000 + " q", "a b c d", "Ab9, ab ab"]
+    found = pseudo_lm.tokenize(texts)
+    assert [len(x) for x in found] == [len(t.split()) for t in texts]
+    every = {}
+    for text, hashes in zip(texts, found, strict=True):
+        for word, h in zip(text.split(), hashes.tolist(), strict=True):
+            assert every.setdefault(word, h) == h
+    assert len(set(every.values())) == len(every)
+
+
+def test_gradients_of_the_network():
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(0.02, (pseudo_lm.SIDE**2, pseudo_lm.CLASSES)).astype(np.float64)
+    counts[5000:] = 0
+    used = np.flatnonzero(counts.sum(1))
+    rows, some = pseudo_lm._features()[used], counts[used]
+    params = [p.astype(np.float64) for p in pseudo_lm.initial(counts)]
+    loss, gradient = pseudo_lm.loss_and_gradient(params, rows, some)
+    for p, g in zip(params, gradient, strict=True):
+        for at in rng.integers(0, p.size, 6):
+            old = p.flat[at]
+            p.flat[at] = old + 1e-4
+            up = pseudo_lm.loss_and_gradient(params, rows, some)[0]
+            p.flat[at] = old - 1e-4
+            down = pseudo_lm.loss_and_gradient(params, rows, some)[0]
+            p.flat[at] = old
+            assert abs((up - down) / 2e-4 - g.flat[at]) < 1e-6
+    before, weights, bias = pseudo_lm.train(counts)
+    trained = -(some * pseudo_lm.log_softmax(np.tanh(before[used]) @ weights + bias)).sum() / some.sum()
+    assert trained < loss - 0.01
+
+
+def test_sums_are_plain_gradients():
+    """Sums by rows of neighbouring words are the gradient of the likelihood by their embeddings, and features add up by member."""
+    rng = np.random.default_rng(5)
+    texts = plain_words(rng, (30, 3, 1, 0, 40))
+    frequent = np.unique(np.concatenate(texts))[:30]
+    before = rng.normal(0, 0.4, (pseudo_lm.SIDE**2, pseudo_lm.HIDDEN)).astype(np.float32)
+    network = (before, rng.normal(0, 0.4, (pseudo_lm.HIDDEN, pseudo_lm.CLASSES)).astype(np.float32), rng.normal(0, 0.4, pseudo_lm.CLASSES).astype(np.float32))
+    rows, members = 1024, 4
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5), pa.int64()), pa.array([t.tobytes() for t in texts], pa.binary())], ["id", "words"])
+    got = {}
+    for b in pseudo_lm._sums(frequent, network, rows, members)(iter([batch])):
+        for kind, row, n, sums in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got[kind, row] = (n, sums)
+    classify = pseudo_lm.Classes(frequent)
+    w = pseudo_lm.Windows(texts, classify)
+    words, place = w.flat, {p: k for k, p in enumerate(w.real.tolist())}
+
+    def loss(at, embedding):  # of the token at a place, with one neighbour's embedding added
+        k = place[at]
+        return pseudo_lm.log_softmax(np.tanh(before[w.context[k]].astype(np.float64) + embedding)[None] @ network[1] + network[2])[0, w.target[k]]
+
+    expected = {}
+    for at in place:
+        for k, near in enumerate((-1, 1, -2, 2)):
+            if at + near in place:
+                row = k * rows + int(pseudo_lm.row_of(words[at + near : at + near + 1], k, rows)[0])
+                step = [(loss(at, e) - loss(at, -e)) / 2e-4 for e in np.eye(pseudo_lm.HIDDEN) * 1e-4]
+                n, sums = expected.get(row, (0, 0))
+                expected[row] = (n + 1, sums + np.array(step))
+    assert {r for k, r in got if k == 0} == set(expected)
+    for row, (n, sums) in expected.items():
+        assert got[0, row][0] == n and np.abs(np.array(got[0, row][1][: pseudo_lm.HIDDEN]) / pseudo_lm.UNIT - sums).max() < 0.01 * n
+    assert sum(n for (k, _), (n, _) in got.items() if k == 1) == sum(c > pseudo_lm.FREQUENT for c in w.target)
+
+
+def test_outcomes_are_distributions():
+    rng = np.random.default_rng(6)
+    x, weights, bias = rng.normal(0, 2, (3000, 8)), rng.normal(0, 3, (8, 12)), rng.normal(0, 1, 12)
+    each = np.stack([pseudo_lm.chosen(x, weights, bias, np.full(3000, k)) for k in range(12)], 1)
+    assert (each <= 0).all() and np.abs(np.exp(each.astype(float)).sum(1) - 1).max() < 1e-5
+    x = np.rint(np.clip(x, -4, 4) * 64) / 64
+    weights, bias = pseudo_lm.exact(weights, bias, 1 / 64, 4.0)
+    straight, turned = pseudo_lm.chosen(x, weights, bias, np.zeros(3000, int)), pseudo_lm.chosen(x[::-1], weights, bias, np.zeros(3000, int))
+    assert (straight == turned[::-1]).all()
+
+
 def test_jpeg_round_trips(monkeypatch):
     rng = np.random.default_rng(0)
     for restart in (8192, 5):
