@@ -179,10 +179,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, n = np.unique(np.concatenate(some), return_counts=True)
         held.append(word)
         counts.append(n)
-        if sum(map(len, held)) > 2_000_000:
+        if sum(map(len, held)) > 1_000_000:
             word, count = merged()
             held[:], counts[:] = [word], [count]
-            if len(word) > 1_000_000:
+            if len(word) > 400_000:
                 yield out(word, count)
                 held.clear()
                 counts.clear()
@@ -501,7 +501,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ship(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     source = stage(source.mapInArrow(_tokenized, "id long, words binary"), "tokens")
-    few = source.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
+    few = source.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism, source.rdd.getNumPartitions() // 3))
     words = stage(source.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = np.array([r["word"] for r in top], np.int64).view(np.uint64)

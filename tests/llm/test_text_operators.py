@@ -283,6 +283,79 @@ def test_toxicity(spark, awkward, empty):
     assert {r["doc_id"] for r in stays.collect()} == {r["doc_id"] for r in rows if not r["predicted"]}
 
 
+def toy_votes(rng, n):
+    """Masks of voters that fire by class; the last pattern repeats the first lexicon voter."""
+    out = []
+    for _ in range(n):
+        toxic = rng.random() < 0.12
+        fired = [k for k in range(6) if rng.random() < (0.3 if toxic else 0.002)]
+        if 0 in fired and rng.random() < 0.9:
+            fired.append(len(toxicity.VOTERS) - 1)
+        out.append(sum(1 << k for k in fired))
+    return out
+
+
+def plain_posterior(prior, parent, rate, fired):
+    like = [1 - prior, prior]
+    for c in (0, 1):
+        for i, f in enumerate(fired):
+            p = rate[c][int(parent[i] >= 0 and fired[parent[i]])][i]
+            like[c] *= p if f else 1 - p
+    return like[1] / sum(like)
+
+
+def test_label_model_against_plain(spark):
+    rng = random.Random(11)
+    masks = toy_votes(rng, 3000)
+    rows = [(m, c) for m, c in Counter(masks).items()]
+    model = toxicity.fit_label_model(spark.createDataFrame(rows, "mask long, times long").repartition(5))
+    n, worth = len(toxicity.VOTERS), toxicity.WORTH
+    fired = {m: [m >> k & 1 for k in range(n)] for m in set(masks)}
+    start = toxicity.LabelModel()
+    prior, parent, rate, believed = start.prior, [-1] * n, start.rate, start.believed
+    for step in range(sum(toxicity.ROUNDS)):
+        if step == toxicity.ROUNDS[0]:
+            parent = model.parent.tolist()
+        post = {m: plain_posterior(prior, parent, rate, f) for m, f in fired.items()}
+        size = [sum(c * (p if k else 1 - p) for m, c in rows for p in [post[m]]) for k in (0, 1)]
+        rate = [[[0.0] * n, [0.0] * n] for _ in (0, 1)]
+        for k in (0, 1):
+            weight = {m: c * (post[m] if k else 1 - post[m]) for m, c in rows}
+            for i in range(n):
+                on = sum(w for m, w in weight.items() if fired[m][i])
+                more = worth * size[k] + 1
+                alone = (on + believed[k][i] * more) / (size[k] + more)
+                for u in (0, 1):
+                    if parent[i] < 0:
+                        rate[k][u][i] = min(max(alone, 1e-6), 0.999)
+                    else:
+                        mine = [(m, w) for m, w in weight.items() if fired[m][parent[i]] == u]
+                        rate[k][u][i] = min(max((sum(w for m, w in mine if fired[m][i]) + alone) / (sum(w for _, w in mine) + 1), 1e-6), 0.999)
+        prior = min(max((size[1] + 1) / (sum(size) + 20), 1e-4), 0.5)
+    assert abs(model.prior - prior) < 1e-9 and np.abs(model.rate - np.array(rate)).max() < 1e-8
+    last = n - 1
+    assert model.parent[last] == 0 or model.parent[0] == last  # the voter that repeats another hangs on it
+    assert sum(k >= 0 for k in model.parent) <= 6
+
+
+def test_classifier_against_plain(spark):
+    rng = random.Random(13)
+    masks = toy_votes(rng, 800)
+    n = len(toxicity.VOTERS)
+    model = toxicity.LabelModel()
+    rows = [(m, [float((m >> k & 1) * (1 + k % 3)) for k in range(n)], c) for m, c in Counter(masks).items()]
+    linear = toxicity.fit_classifier(spark.createDataFrame(rows, "mask long, counts array<float>, times long").repartition(3), model)
+    x = np.array([[(m >> k & 1) * (1 + k % 3) for k in range(n)] for m in masks], float)
+    plain = toxicity.logistic(np.log1p(x), model.posterior(toxicity._fired(np.array(masks))), ridge=toxicity.RIDGE * len(masks))
+    assert np.abs(linear - plain).max() < 1e-5
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    one, many = ({r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(d, labels).collect()} for d in (docs.coalesce(1), docs.repartition(40)))
+    assert max(abs(one[k] - many[k]) for k in one) < 1e-9
+
+
 def test_pseudo_likelihood(spark, awkward, empty):
     rng = random.Random(6)
     cycle = ["the", "old", "cat", "sat", "on", "a", "mat", "and", "then", "slept"]
