@@ -1,7 +1,9 @@
 """Extraction and normalisation of answers as columns.
 
-Everything that common answers need is native; a pandas UDF is fed only what no native rule takes (null
-elsewhere), so its rows cost next to nothing.  ``\\d``, ``\\s`` and word boundaries are Unicode-aware.
+Extraction is native for common answers; a pandas UDF is fed only what no native rule takes (null elsewhere),
+so its rows cost next to nothing.  Keys of answers are one pandas UDF, which reads each distinct answer of a
+batch once: as an expression the rules copy one another hundreds of times into the plan.  ``\\d``, ``\\s`` and
+word boundaries are Unicode-aware.
 """
 
 from __future__ import annotations
@@ -18,9 +20,12 @@ _UNIT = r"\\(?:text|mathrm|mathbf|mathit|operatorname|bm)\s*\{\s*(?=[^{}]*[A-Za-
 
 
 def _slow(fn: Callable[[str], str | None], text: Column) -> Column:
+    """``fn`` of each text, read once for equal texts of a batch; null stays null."""
+
     @F.pandas_udf("string")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else fn(v))
+        place, distinct = pd.factorize(values)
+        return pd.Series([*map(fn, distinct), None], dtype=object).take(place).reset_index(drop=True)
 
     return run(text)
 
@@ -35,15 +40,15 @@ def extract_boxed(text: Column, allow_fallback: bool = False) -> Column:
     """The canonical content of the last box; empty (or the last number, if allowed) where there is none."""
     text = F.coalesce(text, F.lit(""))
     has = F.contains(text, F.lit(latex.BOX))
-    tail = F.substring_index(text, latex.BOX, -1)
-    number = F.regexp_extract(tail, r"^(-?[0-9]+(?:\.[0-9]+)?)\}", 1)
-    measured = F.regexp_extract(tail, r"^(-?[0-9]+(?:\.[0-9]+)?)" + _UNIT + r"\}", 1)
+    number = r"^(-?[0-9]+(?:\.[0-9]+)?)(?:" + _UNIT + r")?\}"
     ratio = r"^\\[dt]?frac\{(-?[0-9]+)\}\{(-?[0-9]+)\}\}"
-    top, bottom = F.regexp_extract(tail, ratio, 1), F.regexp_extract(tail, ratio, 2)
-    fast = F.when(number != "", number).when(measured != "", measured).when(top != "", F.concat_ws("/", top, bottom))
-    fast = F.when(has, fast)
-    rest = F.coalesce(_slow(latex.boxed, F.when(has & fast.isNull(), text)), F.lit(""))
-    out = F.coalesce(fast, rest)
+
+    tail = F.substring_index(text, latex.BOX, -1)
+    shown = F.regexp_replace(F.regexp_extract(tail, ratio, 0), ratio, "$1/$2")
+    # a number, with or without a unit, or a fraction of whole numbers
+    fast = F.when(has, F.nullif(F.concat(F.regexp_extract(tail, number, 1), shown), F.lit("")))
+    rest = _slow(latex.boxed, F.when(has & fast.isNull(), text))
+    out = F.coalesce(fast, rest, F.lit(""))
     return F.when(out == "", extract_number(text)).otherwise(out) if allow_fallback else out
 
 
@@ -119,46 +124,14 @@ def tidy_parens(text: Column) -> Column:
     return _slow(latex.tidy_parens, text)
 
 
-def _plain(bare: Column) -> Column:
-    """Native canonical number, of integers and decimals of at most 15 digits; null elsewhere."""
-    whole = F.when(bare.rlike(r"^ *-?[0-9]{1,15}(\.0*)? *$"), F.regexp_extract(bare, r"(-?[0-9]+)", 1).try_cast("bigint").cast("string"))
-    digits = F.length(F.regexp_replace(bare, "[^0-9]", ""))
-    part = lambda k: F.regexp_extract(bare, r"^(-?)0*([0-9]*?)\.([0-9]*[1-9])0*$", k)
-    large = (part(2) != "") | part(3).rlike("^0{0,3}[1-9]")
-    decimal = F.when((digits <= 15) & large & (part(3) != ""), F.concat(part(1), F.when(part(2) == "", "0").otherwise(part(2)), F.lit("."), part(3)))
-    return F.coalesce(whole, decimal)
-
-
 def numeric_key(text: Column) -> Column:
     """Canonical text of a number; empty if it is not finite, null if the text is no number."""
-    fast = _plain(text)
-    other = text.rlike("^[\x20-\x7e]*$") & text.rlike(r"[^0-9A-Za-z_+\-. ]|^[ ]*$")
-    return F.coalesce(fast, _slow(latex.numeric_key, F.when(fast.isNull() & ~other, text)))
-
-
-def _gcd(a: Column, b: Column) -> Column:
-    start = F.struct(F.abs(a).alias("a"), b.alias("b"))
-    step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("bigint")).otherwise(s["a"] % s["b"]).alias("b"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step, lambda s: s["a"])
+    return _slow(latex.numeric_key, text)
 
 
 def normalise(answer: Column) -> Column:
     """The key under which answers count as one; empty means no vote."""
-    answer = F.coalesce(answer, F.lit(""))
-    ascii_ = answer.rlike("^[\x20-\x7e]*$")
-    bare = strip_thousands(F.rtrim(F.trim(answer), F.lit(".")))
-    number = _plain(bare)
-    parts = lambda k: F.regexp_extract(bare, r"^(-?[0-9]{1,15})\s*/\s*([0-9]{1,15})$", k)
-    top, bottom = parts(1).try_cast("bigint"), parts(2).try_cast("bigint")
-    common = _gcd(top, bottom)
-    shown = lambda n: F.expr("0") if n is None else n.cast("bigint").cast("string")
-    ratio = F.when(bottom == 0, "").when(bottom == common, shown(top / common)).otherwise(F.concat(shown(top / common), F.lit("/"), shown(bottom / common)))
-    words = F.upper(F.replace(bare, F.lit(" "), F.lit("")))
-    # letters that no float literal has, and no digits-and-slash form that the ratio did not take
-    clear = bare.rlike(r"[B-DGHJ-MO-SU-XZb-dghj-mo-su-xz(){}\[\]*=<>,:;!?\\^]") & ~bare.rlike(r"^-?[0-9]+ */ *[0-9]+$")
-    fast = F.when(bare == "", "").when(number.isNotNull(), number).when(bottom.isNotNull(), ratio).when(clear, words)
-    fast = F.when(ascii_, fast)
-    return F.coalesce(fast, _slow(latex.normalise, F.when(fast.isNull(), answer)))
+    return _slow(latex.normalise, F.coalesce(answer, F.lit("")))
 
 
 _SYMBOLIC: list[Callable[[str, str], bool]] = []

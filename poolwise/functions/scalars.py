@@ -52,6 +52,11 @@ def live_tokens(tokens: Column, eos: int) -> Column:
     return F.size(F.filter(tokens, lambda t: t != eos))
 
 
+def spoken_tokens(n_tokens: Column, finish_reason: Column) -> Column:
+    """Tokens of a sample less the end token, which only a sample that stopped by itself has."""
+    return F.greatest(n_tokens - F.when(finish_reason.eqNullSafe("stop"), 1).otherwise(0), F.lit(0))
+
+
 def finish_reason(n_tokens: Column, cap: int, last: Column, eos: int) -> Column:
     return F.when((n_tokens >= cap) & (last != eos), "length").otherwise("stop")
 
@@ -61,17 +66,28 @@ def coverage_law(p: Column, n: int | Column) -> Column:
     return 1 - F.pow(1 - p, n)
 
 
-def mcnemar_exact(only_a: Column, only_b: Column) -> Column:
-    """Two-sided exact p-value of a paired comparison, in logarithms so that no power of two overflows."""
-    n, k = only_a + only_b, F.least(only_a, only_b)
-    log_comb = F.transform(F.sequence(F.lit(0), k.cast("int")), lambda i: i)
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("s"))
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 1, by Stirling's series eight steps further on."""
+    z = x + 8
+    series = (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7))
+    steps = x
+    for k in range(1, 8):
+        steps = steps * (x + k)
+    return series - F.log(steps)
 
-    def step(acc: Column, i: Column) -> Column:
-        c = F.when(i == 0, F.lit(0.0)).otherwise(acc["c"] + F.log((n - i + 1).cast("double")) - F.log(F.greatest(i, F.lit(1)).cast("double")))
-        return F.struct(c.alias("c"), (acc["s"] + F.exp(c - n * F.log(F.lit(2.0)))).alias("s"))
 
-    tail = F.aggregate(log_comb, start, step, lambda a: a["s"])
+def mcnemar_exact(only_a: Column, only_b: Column) -> Column:
+    """Two-sided exact p-value of a paired comparison.
+
+    The tail is its largest term, in logarithms so that no power of two overflows, times a sum of ratios that
+    ends after 40 standard deviations, beyond which no term counts.
+    """
+    n, k = (only_a + only_b).cast("double"), F.least(only_a, only_b).cast("double")
+    top = log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) - n * F.log(F.lit(2.0))
+    places = F.sequence(F.lit(0), F.least(k, F.ceil(20 * F.sqrt(n)) + 100).cast("int"))
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(0.0).alias("s"))
+    step = lambda acc, j: F.struct((acc["t"] * (k - j) / (n - k + j + 1)).alias("t"), (acc["s"] + acc["t"]).alias("s"))
+    tail = F.exp(top) * F.aggregate(places, start, step, lambda acc: acc["s"])
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 

@@ -48,21 +48,27 @@ def agreement(trajectories: DataFrame) -> DataFrame:
 def coverage(trajectories: DataFrame, gold: str) -> DataFrame:
     """Whether any voter has the gold answer; never, if the gold answer has no key."""
     hit = (F.col("key") != "") & answers.equivalent(F.col("key"), F.col(gold))
-    return trajectories.groupBy("problem_id").agg(F.bool_or(hit).alias("covered"))
+    return trajectories.select("problem_id", hit.alias("hit")).groupBy("problem_id").agg(F.bool_or("hit").alias("covered"))
+
+
+def _right() -> Column:
+    return (F.col("answer") != "") & answers.equivalent(F.col("answer"), F.col("gold"))
 
 
 def is_correct(trajectories: DataFrame, gold: str, method: str = "majority", **options) -> DataFrame:
     """The chosen answer of every problem and whether it is the gold one."""
-    golds = trajectories.groupBy("problem_id").agg(F.min(gold).alias("gold"))
-    chosen = select_answers(trajectories, method, gold, **options).select("problem_id", "answer")
-    return chosen.join(golds, "problem_id").select("problem_id", "answer", ((F.col("answer") != "") & answers.equivalent(F.col("answer"), F.col("gold"))).alias("correct"))
+    chosen = select_answers(trajectories, method, gold, least={"gold": F.col(gold)}, **options)
+    return chosen.select("problem_id", "answer", _right().alias("correct"))
 
 
-def diagnosis(trajectories: DataFrame, gold: str, method: str = "majority") -> DataFrame:
-    """Per problem: did selection return the answer, and was it within reach?"""
-    both = is_correct(trajectories, gold, method).join(coverage(trajectories, gold), "problem_id")
+def diagnosis(trajectories: DataFrame, gold: str, method: str = "majority", **options) -> DataFrame:
+    """Per problem, in one pass: did selection return the answer, and was it within reach?"""
+    hit = F.coalesce((F.col("key") != "") & answers.equivalent(F.col("key"), F.col(gold)), F.lit(False))
+    rows = trajectories.withColumn("_hit", hit)
+    chosen = select_answers(rows, method, gold, least={"gold": F.col(gold)}, most={"covered": F.col("_hit")}, **options)
+    chosen = chosen.withColumn("correct", _right())
     said = F.when(F.col("correct"), "working").when(F.col("covered"), "selection problem").otherwise("generation problem")
-    return both.select("problem_id", "correct", "covered", said.alias("diagnosis"))
+    return chosen.select("problem_id", "correct", "covered", said.alias("diagnosis"))
 
 
 def answers_list(trajectories: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 A pool is the rows of one ``problem_id``; ``sample_idx`` is its order and breaks every tie.  ``key`` is the
 normalised answer, empty for a trajectory that abstains.  A vote is two aggregations on the problem's key,
 the first of which is combined on the map side; with the input already partitioned by ``problem_id`` both
-run without a further exchange.  Weights are added in the order of ``sample_idx``, so equal votes tie exactly.
+run without a further exchange.  Weights are added in the order of ``sample_idx``, so equal votes tie exactly;
+for that the rows of a class, at most a pool, are held together.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from poolwise.functions import answers
 from poolwise.functions.scalars import finite, safe_exp
 
 METHODS = ("random", "majority", "self_certainty", "verifier", "verifier_argmax", "oracle")
+WEIGHTED = ("self_certainty", "verifier")
 #: Pools with more distinct answers than this are compared as text even if a symbolic backend is installed.
 MERGE_LIMIT = 24
 
@@ -83,15 +85,16 @@ def vote_tally(keyed: DataFrame, weight: Column | None = None) -> DataFrame:
     return merged(keyed).where(F.col("rep") != "").groupBy("problem_id", "rep").agg(total.alias("weight"), F.min("sample_idx").alias("first_idx"))
 
 
-def _best(weight: Column, first: Column, value: Column) -> Column:
-    return F.max(F.struct(weight.alias("w"), (-first).alias("f"), value.alias("v")))
-
-
-def check_scores(trajectories: DataFrame) -> None:
-    """Fail if any finite score, of abstainers too, lies outside [0, 1]; names the extremes."""
-    low, high = trajectories.where(finite(F.col("score"))).agg(F.min("score"), F.max("score")).first()
+def check(trajectories: DataFrame, scores: bool, usable: Column, what: str) -> None:
+    """Fail if any pool has no row that is ``usable``, or (``scores``) if any finite score, of abstainers too, lies
+    outside [0, 1]; names the pool, or the extremes.  One aggregate over the table."""
+    score = F.when(finite(F.col("score")), F.col("score")) if scores else F.lit(None).cast("double")
+    pools = trajectories.groupBy("problem_id").agg(F.min(score).alias("low"), F.max(score).alias("high"), F.bool_or(usable).alias("ok"))
+    low, high, pool, bad = pools.agg(F.min("low"), F.max("high"), F.min(F.when(~F.col("ok"), F.col("problem_id"))), F.count_if(~F.col("ok"))).first()
     if low is not None and (low < 0 or high > 1):
         raise ValueError(f"scores must be probabilities; found {low!r} to {high!r}")
+    if bad:
+        raise ValueError(f"pool {pool!r} has no {what}")
 
 
 def score_range(trajectories: DataFrame) -> DataFrame:
@@ -103,66 +106,82 @@ def score_range(trajectories: DataFrame) -> DataFrame:
     )
 
 
-def _weighted(keyed: DataFrame, weight: Column) -> DataFrame:
-    """Winner by weight; where all weights of a pool are 0, by count, and ``fell_back`` says so."""
-    seen = merged(keyed).groupBy("problem_id", "rep").agg(ordered_sum(weight).alias("weight"), F.count("*").cast("double").alias("n"), F.min("sample_idx").alias("first_idx"))
-    votes = F.col("rep") != ""
-    best = seen.groupBy("problem_id").agg(
-        F.max(F.when(votes, F.struct(F.col("weight").alias("w"), (-F.col("first_idx")).alias("f"), F.col("rep").alias("v")))).alias("heavy"),
-        F.max(F.when(votes, F.struct(F.col("n").alias("w"), (-F.col("first_idx")).alias("f"), F.col("rep").alias("v")))).alias("many"),
-    )
-    zero = F.coalesce(F.col("heavy.w") <= 0, F.lit(False))
-    return best.select("problem_id", F.coalesce(F.when(zero, F.col("many.v")).otherwise(F.col("heavy.v")), F.lit("")).alias("answer"), zero.alias("fell_back"))
-
-
-def _require(trajectories: DataFrame, usable: Column, what: str, each_pool: bool = True) -> None:
-    found = trajectories.groupBy("problem_id").agg(F.bool_or(usable).alias("ok")).where(~F.col("ok")).limit(1).collect()
-    if found:
-        raise ValueError(f"pool {found[0][0]!r} has no {what}")
-
-
-def select_answers(trajectories: DataFrame, method: str = "majority", gold: str | None = None, seed: int = 0, validate: bool = True) -> DataFrame:
+def select_answers(
+    trajectories: DataFrame, method: str = "majority", gold: str | None = None, seed: int = 0, validate: bool = True, least: dict[str, Column] | None = None, most: dict[str, Column] | None = None
+) -> DataFrame:
     """(problem_id, answer) of every pool by one of METHODS; weighted methods add ``fell_back``.
 
     Needs ``problem_id, sample_idx, key`` and what the method reads: ``logprob``, ``score``, or the column that
     ``gold`` names.  A pool in which everyone abstains answers with the empty string.  ``validate`` runs the
-    eager checks (a score out of range; a pool without a usable weight) that fail instead of degrading.
-    ``random`` takes the voter with the least ``md5(seed:problem_id:sample_idx)``.
+    eager check (a score out of range; a pool without a usable weight) that fails instead of degrading.
+    ``random`` takes the voter with the least ``md5(seed:problem_id:sample_idx)``.  ``least`` and ``most`` name
+    columns that the result has of each pool besides: the least and the greatest of an expression of its rows.
     """
     if method not in METHODS:
         raise ValueError(f"no method {method!r}; one of {', '.join(METHODS)}")
-    votes = F.col("key") != ""
-    answer = lambda best: F.coalesce(best["v"], F.lit("")).alias("answer")
-    by_pool = trajectories.groupBy("problem_id")
-    if method == "majority":
-        seen = merged(trajectories).groupBy("problem_id", "rep").agg(F.count("*").alias("n"), F.min("sample_idx").alias("first_idx"))
-        best = seen.groupBy("problem_id").agg(F.max(F.when(F.col("rep") != "", F.struct(F.col("n"), (-F.col("first_idx")).alias("f"), F.col("rep").alias("v")))).alias("best"))
-        return best.select("problem_id", answer(F.col("best")))
-    if method == "random":
-        return by_pool.agg(F.coalesce(F.min(F.when(votes, F.struct(draw(seed).alias("h"), F.col("key").alias("v"))))["v"], F.lit("")).alias("answer"))
-    if method == "oracle":
-        if gold is None:
-            raise ValueError("oracle needs the name of the gold column")
-        hit = votes & (F.col("key") == answers.normalise(F.col(gold)))
-        best = F.min(F.when(hit, F.struct(F.lit(0).alias("r"), F.col("sample_idx"), F.col("key").alias("v"))))
+    if method == "oracle" and gold is None:
+        raise ValueError("oracle needs the name of the gold column")
+    if validate and method == "self_certainty":
+        check(trajectories, False, finite(F.col("logprob")), "finite log-probability")
+    if validate and method.startswith("verifier"):
+        voter = (F.col("key") != "") if method == "verifier_argmax" else F.lit(True)
+        check(trajectories, True, finite(F.col("score")) & voter, "voter with a finite score" if method == "verifier_argmax" else "finite score")
+    least, most = least or {}, most or {}
+    rows = _prepared(trajectories, (method,), gold)
+    classes = rows.groupBy("problem_id", "rep").agg(*_class_parts((method,), seed), *(F.min(c).alias(n) for n, c in least.items()), *(F.max(c).alias(n) for n, c in most.items()))
+    pools = classes.groupBy("problem_id").agg(*_pool_parts((method,)), *(F.min(n).alias(n) for n in least), *(F.max(n).alias(n) for n in most))
+    zero = F.coalesce(F.col(f"_{method}.w") <= 0, F.lit(False)) if method in WEIGHTED else None
+    extra = [zero.alias("fell_back")] if zero is not None else []
+    return pools.select("problem_id", _answer(method).alias("answer"), *extra, *least, *most)
+
+
+def _prepared(trajectories: DataFrame, methods: tuple[str, ...], gold: str | None) -> DataFrame:
+    """Rows with ``rep``, and for the oracle ``_rank``: 0 for the gold key, 1 for an equivalent one, else null."""
+    rows = merged(trajectories)
+    if "oracle" in methods:
+        votes = F.col("key") != ""
+        rank = F.when(votes & (F.col("key") == answers.normalise(F.col(gold))), 0)
         if answers.have_symbolic_backend():
-            alike = F.when(votes & answers.equivalent(F.col("key"), F.col(gold)), F.struct(F.lit(1).alias("r"), F.col("sample_idx"), F.col("key").alias("v")))
-            best = F.least(best, F.min(alike))
-        return by_pool.agg(F.coalesce(best["v"], F.lit("")).alias("answer"))
-    if method == "self_certainty":
-        if validate:
-            _require(trajectories, finite(F.col("logprob")), "finite log-probability")
-        return _weighted(trajectories, F.when(finite(F.col("logprob")), safe_exp(F.col("logprob"))).otherwise(0.0))
-    if validate:
-        check_scores(trajectories)
+            rank = F.coalesce(rank, F.when(votes & answers.equivalent(F.col("key"), F.col(gold)), 1))
+        rows = rows.withColumn("_rank", rank)
+    return rows
+
+
+def _class_parts(methods: tuple[str, ...], seed: int) -> list[Column]:
+    """What is known of each class of answers of a pool."""
+    votes = F.col("key") != ""
     scored = finite(F.col("score"))
-    if method == "verifier":
-        if validate:
-            _require(trajectories, scored, "finite score")
-        return _weighted(trajectories, F.when(scored, F.col("score")).otherwise(0.0))
-    if validate:
-        _require(trajectories, scored & votes, "voter with a finite score")
-    return by_pool.agg(F.coalesce(F.max(F.when(scored & votes, F.struct(F.col("score"), (-F.col("sample_idx")).alias("f"), F.col("key").alias("v"))))["v"], F.lit("")).alias("answer"))
+    out = []
+    if {"majority", *WEIGHTED} & set(methods):
+        out += [F.count("*").alias("_n"), F.min("sample_idx").alias("_first")]
+    if "self_certainty" in methods:
+        out.append(ordered_sum(F.when(finite(F.col("logprob")), safe_exp(F.col("logprob"))).otherwise(0.0)).alias("_w_self_certainty"))
+    if "verifier" in methods:
+        out.append(ordered_sum(F.when(scored, F.col("score")).otherwise(0.0)).alias("_w_verifier"))
+    if "random" in methods:
+        out.append(F.min(F.when(votes, F.struct(draw(seed).alias("h"), F.col("key").alias("v")))).alias("_one_random"))
+    if "verifier_argmax" in methods:
+        out.append(F.max(F.when(scored & votes, F.struct(F.col("score"), (-F.col("sample_idx")).alias("f"), F.col("key").alias("v")))).alias("_one_verifier_argmax"))
+    if "oracle" in methods:
+        out.append(F.min(F.when(F.col("_rank").isNotNull(), F.struct("_rank", "sample_idx", F.col("key").alias("v")))).alias("_one_oracle"))
+    return out
+
+
+def _pool_parts(methods: tuple[str, ...]) -> list[Column]:
+    """The best class of each pool, by method."""
+    votes = F.col("rep") != ""
+    best = lambda weight: F.max(F.when(votes, F.struct(weight.alias("w"), (-F.col("_first")).alias("f"), F.col("rep").alias("v"))))
+    out = [best(F.col("_n")).alias("_majority")] if {"majority", *WEIGHTED} & set(methods) else []
+    out += [best(F.col(f"_w_{m}")).alias(f"_{m}") for m in WEIGHTED if m in methods]
+    return out + [(F.max if m == "verifier_argmax" else F.min)(f"_one_{m}").alias(f"_{m}") for m in ("random", "verifier_argmax", "oracle") if m in methods]
+
+
+def _answer(method: str) -> Column:
+    """A pool's answer; by count where all weights are 0, empty where nobody votes."""
+    chosen = F.col(f"_{method}.v")
+    if method in WEIGHTED:
+        chosen = F.when(F.col(f"_{method}.w") <= 0, F.col("_majority.v")).otherwise(chosen)
+    return F.coalesce(chosen, F.lit(""))
 
 
 def draw(seed: int) -> Column:
@@ -183,13 +202,12 @@ def select_random_slot(trajectories: DataFrame, seed: int) -> DataFrame:
     return trajectories.select("problem_id").distinct().join(chosen, "problem_id", "left").select("problem_id", F.coalesce("answer", F.lit("")).alias("answer"))
 
 
-def all_selectors(trajectories: DataFrame, gold: str, seed: int = 0) -> DataFrame:
-    """One wide row per problem: the answer of every method."""
-    out = None
-    for method in METHODS:
-        one = select_answers(trajectories, method, gold, seed, validate=False).select("problem_id", F.col("answer").alias(method))
-        out = one if out is None else out.join(one, "problem_id")
-    return out
+def all_selectors(trajectories: DataFrame, gold: str, seed: int = 0, methods: tuple[str, ...] = METHODS, least: dict[str, Column] | None = None) -> DataFrame:
+    """One wide row per problem: the answer of every method, and the columns of ``least``, in one pass over the pools."""
+    least = least or {}
+    classes = _prepared(trajectories, methods, gold).groupBy("problem_id", "rep").agg(*_class_parts(methods, seed), *(F.min(c).alias(n) for n, c in least.items()))
+    pools = classes.groupBy("problem_id").agg(*_pool_parts(methods), *(F.min(n).alias(n) for n in least))
+    return pools.select("problem_id", *(_answer(m).alias(m) for m in methods), *least)
 
 
 def warn_of_fallback(selected: DataFrame) -> int:

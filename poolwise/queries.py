@@ -113,7 +113,7 @@ def _models(spark: SparkSession) -> DataFrame:
     )
 
 
-_VALUES = ", ".join(f"('{m}', '{lic}', '{kind}')" for m, lic, kind, _ in scoring.KNOWN_MODELS)
+_VALUES = ", ".join(f"('{m}', '{lic}', '{kind}')" for m, lic, kind in scoring.KNOWN_MODELS)
 
 
 @_query(f"SELECT * FROM (SELECT a AS model_id, b AS licence FROM (VALUES {_VALUES}) v(a, b, c) UNION ALL VALUES ('someone/new', NULL), ('someone/free', 'mit'))")
@@ -123,7 +123,7 @@ def license_tag(spark, sf_dir):
 
 @_query(f"SELECT a AS model_id, b AS licence, c AS kind FROM (VALUES {_VALUES}) v(a, b, c) UNION ALL VALUES ('someone/new', NULL, NULL), ('someone/free', NULL, NULL)")
 def license_join(spark, sf_dir):
-    known = F.broadcast(scoring.known_models(spark).drop("note"))
+    known = F.broadcast(scoring.known_models(spark))
     return _models(spark).select("model_id").join(known, "model_id", "left")
 
 
