@@ -204,6 +204,18 @@ def live_tokens(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select("vec_id", scalars.live_tokens(_tokens(), 4).alias("live"))
 
 
+@_query("SELECT vec_id, CASE WHEN len(embedding) >= 64 AND (vec_id % 3) <> 2 THEN 'length' ELSE 'stop' END AS reason FROM embeddings")
+def finish_reason(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings")
+    return rows.select("vec_id", scalars.finish_reason(F.size("embedding"), 64, F.col("vec_id") % 3, 2).alias("reason"))
+
+
+@_query(T + "SELECT problem_id, sample_idx, CAST(n_tokens - (finish_reason = 'stop')::INT AS INTEGER) AS spoken FROM t")
+def spoken_tokens(spark, sf_dir):
+    rows = fixtures.raw_trajectories(spark, sf_dir)
+    return rows.select("problem_id", "sample_idx", scalars.spoken_tokens(F.col("n_tokens"), F.col("finish_reason")).cast("int").alias("spoken"))
+
+
 # ---- answers ---------------------------------------------------------------------------------------------
 
 
@@ -349,6 +361,27 @@ def merge_map(spark, sf_dir):
     return vote.merge_map(_traj(spark, sf_dir))
 
 
+def _same_half(a: str, b: str) -> bool:
+    """A stand-in for a symbolic backend: keys that differ in their first letter alone mean the same."""
+    return a[1:] == b[1:]
+
+
+@_query(
+    T + """, m AS (SELECT problem_id, 'X' || (a // 2) AS class, CASE WHEN a % 2 = 0 THEN 'X' ELSE 'Y' END || (a // 2) AS key, count(*) AS n, min(sample_idx) AS first FROM t WHERE key <> '' GROUP BY ALL)
+SELECT problem_id, key, first_value(key) OVER (PARTITION BY problem_id, class ORDER BY n DESC, first) AS rep FROM m"""
+)
+def merge_map_symbolic(spark, sf_dir):
+    even = (F.col("ans_int") % 2) == 0
+    key = F.when(F.col("key") == "", "").otherwise(F.concat(F.when(even, "X").otherwise("Y"), F.floor(F.col("ans_int") / 2).cast("string")))
+    rows = _traj(spark, sf_dir).withColumn("key", key)
+    before = answers.symbolic_backend()
+    answers.set_symbolic_backend(_same_half)
+    try:
+        return vote.merge_map(rows)
+    finally:
+        answers.set_symbolic_backend(before)
+
+
 @_query(T + "SELECT problem_id, key AS rep, CAST(count(*) AS DOUBLE) AS weight, min(sample_idx) AS first_idx FROM t WHERE key <> '' GROUP BY ALL")
 def vote_tally(spark, sf_dir):
     return vote.vote_tally(_traj(spark, sf_dir))
@@ -472,19 +505,42 @@ def min_pool_size(spark, sf_dir):
 
 # ---- statistics ------------------------------------------------------------------------------------------
 
-REPS, CURVE_SEED = 4, 3
-_CURVE = f"""{T}, d AS (SELECT problem_id, rep, key, gold, row_number() OVER (PARTITION BY problem_id, rep ORDER BY md5('{CURVE_SEED}:' || rep || ':' || problem_id || ':' || sample_idx), sample_idx) AS nth
-  FROM t, range(0, {REPS}) r(rep)),
+REPS, DRAWS, CURVE_SEED = statistics.RESAMPLES, statistics.BOOTSTRAP, 3
+
+
+def _mixed(rows: str, value: str, out: str) -> str:
+    """SQL: ``rows`` with 32 mixed bits of a 32-bit value."""
+    return f"""SELECT * EXCLUDE (m0, m1, m2) FROM (SELECT *, ({value}) AS m0, (xor(m0, m0 >> 16) * {0x7FEB352D}) & 4294967295 AS m1, (xor(m1, m1 >> 15) * {0x46CA68B1}) & 4294967295 AS m2, xor(m2, m2 >> 16) AS {out} FROM ({rows}))"""
+
+
+def _uniform(draws: int, seed: int) -> str:
+    """SQL: sorted uniform numbers of the draws of a bootstrap."""
+    streams = _mixed(f"SELECT b FROM range(0, {draws}) x(b)", f"({seed} * 1000003 + b) & 4294967295", "stream")
+    return f"(SELECT list_sort(list((h + 0.5) / CAST(4294967296 AS DOUBLE))) FROM ({_mixed(streams, 'stream', 'h')}))"
+
+
+def _ends(hits: str, draws: int, seed: int) -> str:
+    """SQL: rows (id, h, m) of hits among rows, with the ends of their bootstrap intervals."""
+    u = _uniform(draws, seed)
+    return f"""SELECT id, any_value(h) AS h, any_value(m) AS m, 100 * CAST(min(s) FILTER (cdf >= {u}[{int(0.025 * draws) + 1}]) AS DOUBLE) / any_value(m) AS low, 100 * CAST(min(s) FILTER (cdf >= {u}[{min(draws - 1, int(0.975 * draws)) + 1}]) AS DOUBLE) / any_value(m) AS high
+FROM (SELECT id, h, m, s, sum(exp(lgamma(m + 1) - lgamma(s + 1) - lgamma(m - s + 1) + s * ln(h / m) + (m - s) * ln(1 - h / m))) OVER (PARTITION BY id ORDER BY s) AS cdf FROM (SELECT id, h, m, unnest(range(0, m + 1)) AS s FROM ({hits}))) GROUP BY id"""
+
+
+_REP = _mixed(f"SELECT CAST(rep AS BIGINT) AS rep FROM range(0, {REPS}) x(rep)", f"({CURVE_SEED} * 1000003 + rep) & 4294967295", "stream")
+_PLACE = "SELECT DISTINCT problem_id, CAST('0x' || substr(md5(CAST(problem_id AS VARCHAR)), 1, 8) AS BIGINT) AS place FROM t"
+_DRAW = _mixed(f"SELECT * FROM ({_mixed(f'SELECT * FROM ({_REP}), ({_PLACE})', 'xor(stream, place)', 'pool')}) JOIN (SELECT problem_id, sample_idx, key, gold FROM t) USING (problem_id)", "xor(pool, CAST(sample_idx AS BIGINT))", "h")
+_CURVE = f"""{T}, d AS (SELECT problem_id, rep, key, gold, row_number() OVER (PARTITION BY problem_id, rep ORDER BY h, sample_idx) AS nth FROM ({_DRAW})),
 x AS (SELECT d.*, n FROM d, (VALUES (1), (2), (4), (8), (16)) v(n) WHERE nth <= n AND n <= (SELECT min(c) FROM (SELECT count(*) AS c FROM t GROUP BY problem_id))),
 k AS (SELECT n, rep, problem_id, key, min(gold) AS gold, count(*) AS votes, min(nth) AS first FROM x GROUP BY ALL),
 o AS (SELECT n, rep, problem_id, min(gold) AS gold, bool_or(key = gold)::INT AS coverage, arg_min(key, first) FILTER (key <> '') AS r, arg_max(key, votes * 100 - first) FILTER (key <> '') AS m FROM k GROUP BY ALL),
-s AS (SELECT n, rep, avg(coalesce(r = gold, false)::INT) AS random, avg(coalesce(m = gold, false)::INT) AS majority, avg(coverage) AS coverage FROM o GROUP BY ALL),
-curve AS (SELECT CAST(n AS INTEGER) AS n, 100 * avg(random) AS random, 100 * avg(majority) AS majority, 100 * avg(coverage) AS coverage, 100 * stddev_pop(majority) AS sd FROM s GROUP BY ALL)
+s AS (SELECT n, rep, avg(coalesce(r = gold, false)::INT) AS random, avg(coalesce(m = gold, false)::INT) AS majority, avg(coverage) AS coverage, count(*) AS problems, sum(coalesce(m = gold, false)::INT) AS hits FROM o GROUP BY ALL),
+curve AS (SELECT CAST(n AS INTEGER) AS n, 100 * avg(random) AS random, 100 * avg(majority) AS majority, 100 * avg(coverage) AS coverage, 100 * stddev_pop(majority) AS sd FROM s GROUP BY ALL),
+once AS ({_ends("SELECT n AS id, CAST(hits AS DOUBLE) AS h, problems AS m FROM s WHERE rep = 0", DRAWS, CURVE_SEED)})
 """
 
 
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.accuracy_curve(_traj(spark, sf_dir), "gold", reps=REPS, seed=CURVE_SEED)
+    return statistics.accuracy_curve(_traj(spark, sf_dir), "gold", seed=CURVE_SEED)
 
 
 @_query(_CURVE + "SELECT n, round(random, 6) AS random, round(majority, 6) AS majority, round(coverage, 6) AS coverage FROM curve")
@@ -497,6 +553,11 @@ def curve_sd(spark, sf_dir):
     return _curve(spark, sf_dir).select("n", F.round("sd", 6).alias("sd"))
 
 
+@_query(_CURVE + "SELECT CAST(id AS INTEGER) AS n, round(low, 6) AS low, round(high, 6) AS high FROM once")
+def curve_interval(spark, sf_dir):
+    return _curve(spark, sf_dir).select("n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
 _COMB = "list_product([greatest(N - {0} - i, 0) / (N - i) for i in range(0, n)])"
 
 
@@ -510,16 +571,9 @@ def expected_curve(spark, sf_dir):
     return rows.select("n", *(F.round(c, 6).alias(c) for c in ("random", "coverage")))
 
 
-def _bootstrap(source: str, order: str, hit: str, draws: int, seed: int) -> str:
-    return f"""h AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS place, {hit} AS hit FROM {source}),
-b AS (SELECT b, CAST('0x' || substr(md5(b || ':' || j || ':{seed}'), 1, 15) AS BIGINT) % (SELECT count(*) FROM h) AS place FROM range(0, {draws}) x(b), range(0, (SELECT count(*) FROM h)) y(j)),
-m AS (SELECT b, sum(hit) / (SELECT count(*) FROM h) AS m FROM b JOIN h USING (place) GROUP BY b),
-ci AS (SELECT 100 * list_sort(list(m))[{int(0.025 * draws) + 1}] AS low, 100 * list_sort(list(m))[{min(draws - 1, int(0.975 * draws)) + 1}] AS high FROM m)"""
-
-
-@_query(f"WITH {_bootstrap('labels', 'doc_id', 'quality', 50, 17)} SELECT round(low, 9) AS low, round(high, 9) AS high FROM ci")
+@_query(f"SELECT round(low, 9) AS low, round(high, 9) AS high FROM ({_ends('SELECT 0 AS id, CAST(sum(quality) AS DOUBLE) AS h, count(*) AS m FROM labels', DRAWS, 17)})")
 def bootstrap_ci(spark, sf_dir):
-    out = statistics.bootstrap_ci(_table(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1, draws=50, seed=17)
+    out = statistics.bootstrap_ci(_table(spark, sf_dir, "labels"), F.col("quality") == 1, seed=17)
     return out.select(F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
@@ -543,21 +597,23 @@ def paired_discordance(spark, sf_dir):
     return statistics.paired_discordance(_traj(spark, sf_dir), "gold").withColumn("p_value", F.round("p_value", 9))
 
 
-@_query(f"WITH pairs AS ({_PAIRS}), {_bootstrap('pairs', 'problem_id', 'majority::INT', 20, 17)} SELECT round((SELECT 100 * avg(majority::INT) FROM pairs), 9) AS accuracy, round(low, 9) AS low, round(high, 9) AS high FROM ci")
+@_query(f"SELECT round(100 * h / m, 9) AS accuracy, round(low, 9) AS low, round(high, 9) AS high FROM ({_ends(f'SELECT 0 AS id, CAST(sum(majority::INT) AS DOUBLE) AS h, count(*) AS m FROM ({_PAIRS})', DRAWS, 17)})")
 def majority_accuracy(spark, sf_dir):
-    out = statistics.majority_accuracy(_traj(spark, sf_dir), "gold", draws=20, seed=17)
+    out = statistics.majority_accuracy(_traj(spark, sf_dir), "gold", seed=17)
     return out.select(*(F.round(c, 9).alias(c) for c in out.columns))
 
 
 @_query(
-    f"""SELECT a.*, b.p, c.sizes, c.top_majority, d.majority_only, d.random_only FROM ({ORACLE['corpus_accounting']}) a, ({ORACLE['per_trajectory_accuracy']}) b,
-({_CURVE} SELECT CAST(count(*) AS INTEGER) AS sizes, round(arg_max(majority, n), 6) AS top_majority FROM curve) c, ({ORACLE['paired_discordance']}) d"""
+    f"""SELECT a.problems, (SELECT CAST(max(n) AS INTEGER) FROM c) AS n_generated, round(100 * b.p, 2) AS per_trajectory_accuracy, round(a.abstention_rate, 2) AS abstention_rate, round(a.truncation_rate, 2) AS truncation_rate, a.tokens AS total_tokens,
+  d.majority_only, d.random_only, round(d.p_value, 6) AS p_value, (SELECT count(*) FROM events WHERE event_id % 97 = 0) AS reextraction_drift,
+  c.n, round(c.random, 2) AS random, round(c.majority, 2) AS majority, round(c.coverage, 2) AS coverage, round(c.sd, 3) AS sd, round(c.low, 2) AS low, round(c.high, 2) AS high
+FROM ({ORACLE['corpus_accounting']}) a, ({ORACLE['per_trajectory_accuracy']}) b, ({ORACLE['paired_discordance']}) d, c""".join([f"WITH c AS ({_CURVE} SELECT curve.*, once.low, once.high FROM curve JOIN once ON once.id = curve.n) ", ""])
 )
 def summary(spark, sf_dir):
-    out = statistics.summary(_traj(spark, sf_dir), "gold", reps=REPS, seed=CURVE_SEED)
-    rates = [F.round(c, 9).alias(c) for c in ("abstention_rate", "truncation_rate", "p")]
-    top = F.round(F.element_at("curve", -1)["majority"], 6).alias("top_majority")
-    return out.select("problems", "n_generated", "voters", "abstained", "truncated", "tokens", *rates, F.size("curve").alias("sizes"), top, "mcnemar.majority_only", "mcnemar.random_only")
+    rows = _traj(spark, sf_dir).withColumn("answer", F.when(F.col("event_id") % 97 == 0, "stale").otherwise(F.col("answer")))
+    out = statistics.summary(rows, "gold", seed=CURVE_SEED)
+    out = out.withColumn("c", F.explode("curve")).select("*", "c.*", "mcnemar_majority_vs_random.*").withColumns({"low": F.col("majority_ci95")[0], "high": F.col("majority_ci95")[1]})
+    return out.drop("c", "curve", "mcnemar_majority_vs_random", "majority_ci95")
 
 
 @_query(T + "SELECT problem_id, sample_idx FROM t QUALIFY row_number() OVER (PARTITION BY problem_id ORDER BY md5('9:' || problem_id || ':' || sample_idx), sample_idx) <= 4")

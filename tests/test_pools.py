@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from poolwise.functions import answers
+from poolwise.functions import answers, scalars
 from poolwise.operators import accounting, scoring, vote
 from poolwise.plans import statistics
 from poolwise.plans.engine import PoolEngine, check_sampling, fake_backend, resolve_backend
@@ -116,8 +116,30 @@ def test_curve_meets_closed_form(spark):
 
 def test_bootstrap_edges(spark):
     hits = spark.createDataFrame([(k, True) for k in range(9)], "k long, h boolean")
-    assert tuple(statistics.bootstrap_ci(hits, "k", F.col("h"), draws=40).first()) == (100, 100)
-    assert tuple(statistics.bootstrap_ci(hits.where("false"), "k", F.col("h"), draws=40).first()) == (0, 0)
+    assert tuple(statistics.bootstrap_ci(hits, F.col("h"), draws=40).first()) == (100, 100)
+    assert tuple(statistics.bootstrap_ci(hits.where("false"), F.col("h"), draws=40).first()) == (0, 0)
+
+
+def test_draws_of_a_bootstrap_are_binomial():
+    import numpy as np
+
+    for hits, n in ((0, 7), (7, 7), (3, 11), (180, 400)):
+        u = (np.arange(97) + 0.5) / 97
+        mass = [math.comb(n, k) * (hits / n) ** k * (1 - hits / n) ** (n - k) for k in range(n + 1)]
+        expected = [min((k for k in range(n + 1) if sum(mass[: k + 1]) >= x - 1e-12), default=n) for x in u]
+        assert statistics.quantiles(hits, n, u).tolist() == expected
+    drawn = [sum(random.Random(k).choices([1, 0], [180, 220], k=400)) for k in range(4000)]
+    got = statistics.quantiles(180, 400, np.array([0.025, 0.5, 0.975]))
+    assert all(abs(a - b) <= 2 for a, b in zip(got, (sorted(drawn)[100], sorted(drawn)[2000], sorted(drawn)[3900]), strict=True))
+    big = statistics.quantiles(4 * 10**9, 10**10, np.array([0.025, 0.975]))
+    assert abs((big[1] - big[0]) / 2 / 1.96 - math.sqrt(10**10 * 0.24)) < 100
+
+
+def test_mcnemar_of_many(spark):
+    a, b = 5 * 10**8, 5 * 10**8 - 40_000
+    z = (abs(a - b) - 1) / math.sqrt(a + b)
+    p = spark.sql(f"SELECT {a}L AS a, {b}L AS b").select(scalars.mcnemar_exact(F.col("a"), F.col("b"))).first()[0]
+    assert p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-3)
 
 
 def test_subsample_of_all_is_the_pool(spark):
