@@ -4,8 +4,8 @@ Only DataFrame functions run here.  A first scan keeps one narrow row for each d
 normalised text and a hash of its first characters.  Lengths that occur once drop out; of the rest, so do
 prefixes that occur once for their length.  Only documents of surviving (length, prefix) pairs have their
 full text hashed.  A group's size and keeper come from partial aggregates, so a group that holds a third of
-all rows costs one row per task; rows find their group by a join whose inputs are both plain exchanges,
-which adaptive execution splits where a key is hot.
+all rows costs one row per task; rows find their group by a join whose inputs are both plain exchanges, and
+whose result nothing else groups, so adaptive execution splits it where a key is hot.
 
 Defined cases: a null text counts as empty, all empty texts are one group; a null id is the last choice as
 keeper; of rows that repeat the keeper's id, text and length, one is kept; columns of the input that clash
@@ -14,7 +14,7 @@ with a result column are replaced by it in ``exact_dedup`` and stay as they are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolwise.llm.staging import small, stage
@@ -74,11 +74,13 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) ->
     mine = F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_chars") == F.col("_keep_chars"))
     alone = F.col("group_size").isNull()
     found = found.withColumn("kept", alone | mine)
-    # a keeper that occurs in several equal rows: few, so a window over them alone
-    again = F.coalesce(F.col("_keep_n") > 1, F.lit(False)) & F.col("kept")
-    order = Window.partitionBy("_sha", id_col).orderBy("_chars")
-    once = found.where(again).withColumn("kept", F.row_number().over(order) == 1)
-    found = found.where(~again).unionByName(once)
+    if groups.where("_keep_n > 1").head(1):
+        # a keeper that occurs in several equal rows: the least row number, by an aggregate that tasks begin by themselves
+        again = F.coalesce(F.col("_keep_n") > 1, F.lit(False)) & F.col("kept")
+        several = stage(found.where(again).withColumn("_row", F.monotonically_increasing_id()), "again")
+        first = stage(several.groupBy("_sha").agg(F.min("_row").alias("_row")).withColumn("_first", F.lit(True)), "first")
+        several = several.join(small(first), ["_sha", "_row"], "left").withColumn("kept", F.coalesce("_first", F.lit(False))).select(found.columns)
+        found = found.where(~again).unionByName(several)
     found = found.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")))
     found = found.withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long"))).drop("_keep_chars", "_keep_n")
     alone = single.withColumns(

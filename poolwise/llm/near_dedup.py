@@ -16,7 +16,8 @@ Work beyond the star grows with the product of a bucket's unconnected members an
 
 Defined cases: a null text is empty; documents without words are one class; texts of fewer than five words
 have one shingle of all their words; a null id counts as a document of its own words, its class is named
-by another member if there is one and else by a negative hash; rows that repeat an id are of that id's class.
+by another member if there is one and else by a negative hash; rows that repeat an id with another text are
+documents of their own, each linked by its text, and named by the id.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, texts, unnamed, at = *batch.columns, 0
+        keys, texts, unnamed, digests, at = *batch.columns, 0
         while at < len(batch):
             words, total, first = [], 0, at
             while at < len(batch) and total < _WORDS_AT_ONCE:
@@ -69,8 +70,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = np.arange(0, len(bands) + 1, BANDS, dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands))
             yield pa.RecordBatch.from_arrays(
-                [keys.slice(first, at - first), unnamed.slice(first, at - first), pa.array(same), pa.array(filled), lists],
-                ["key", "unnamed", "same", "filled", "bands"],
+                [*(c.slice(first, at - first) for c in (keys, unnamed, digests)), pa.array(same), pa.array(filled), lists],
+                ["key", "unnamed", "digest", "same", "filled", "bands"],
             )
     shingles.forget()
 
@@ -217,21 +218,31 @@ def _starred(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.unionByName(heads).join(texts, "node").groupBy("task", "chunk").applyInArrow(_star, "a long, b long")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: its id, ``class_id`` (the least id of its class) and ``copy_of`` (its representative)."""
-    ship(docs.sparkSession)
+#: Which row of a class names it: named ones first, then by id.
+_ROW = ("unnamed", "key", "digest")
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, text, unnamed, digest): the text is known by its id and a hash, since ids may repeat."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), -F.abs(F.xxhash64(text)) - 1)
-    source = docs.select(key.alias("key"), text.alias("text"), F.col(id_col).isNull().alias("unnamed"))
-    sketched = source.mapInArrow(_sketch, "key long, unnamed boolean, same string, filled boolean, bands array<long>")
+    return docs.select(key.alias("key"), text.alias("text"), F.col(id_col).isNull().alias("unnamed"), F.xxhash64(text).alias("digest"))
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every row as (key, unnamed, digest, rep, top): the row of its words, and the row that names its class, as ``_ROW``."""
+    ship(docs.sparkSession)
+    source = _source(docs, id_col, text_col)
+    sketched = source.mapInArrow(_sketch, "key long, unnamed boolean, digest long, same string, filled boolean, bands array<long>")
     sketched = stage(sketched, "sketch")
-    named = F.coalesce(F.min(F.when(~F.col("unnamed"), F.col("key"))), F.min("key"))
-    classes = stage(sketched.groupBy("same").agg(named.alias("node"), F.bool_or("filled").alias("filled")), "classes")
-    members = sketched.select("key", "unnamed", "same").join(classes.select("same", "node"), "same").select("key", "unnamed", "node")
+    classes = sketched.groupBy("same").agg(F.min(F.struct(*_ROW)).alias("rep"), F.bool_or("filled").alias("filled"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = sketched.select(*_ROW, "same").join(classes.select("same", "node", "rep"), "same").select(*_ROW, "node", "rep")
     members = stage(members, "members")
     # one row per representative, with its bands
-    chosen = sketched.select("key", "same", "bands").join(classes.where("filled"), "same").where("key = node")
-    reps = stage(chosen.select("node", "bands").dropDuplicates(["node"]), "reps")
+    mine = (F.col("key") == F.col("rep.key")) & (F.col("digest") == F.col("rep.digest"))
+    chosen = sketched.select("key", "digest", "same", "bands").join(classes.where("filled"), "same").where(mine)
+    reps = stage(chosen.select("node", "key", "digest", "bands").dropDuplicates(["node"]), "reps")
     shared = reps.select("node", F.explode("bands").alias("band"))
     counts = shared.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     buckets = stage(shared.join(counts, "band"), "buckets")
@@ -240,25 +251,38 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     leads = leads.select("band", (-F.col("top.minus")).alias("lead"))
     pairs = buckets.select("band", "node").join(leads, "band").where("node <> lead").select("lead", "node").distinct()
     pairs = stage(pairs, "pairs")
-    texts = source.select(F.col("key").alias("node"), "text").join(small(central.select("node")), "node", "left_semi")
+    wanted = stage(reps.select("node", "key", "digest").join(central.select("node"), "node"), "wanted")
+    texts = source.select("key", "digest", "text").join(small(wanted), ["key", "digest"]).select("node", "text")
     texts = stage(texts.dropDuplicates(["node"]), "texts")
     links = stage(_starred(pairs, texts), "links")
     rows = _open(buckets, components(links))
     more = stage(_starred(_few(rows, pairs), texts), "few")
-    blocks = _blocks(rows, texts.join(reps, "node"))
+    blocks = _blocks(rows, texts.join(reps.select("node", "bands"), "node"))
     most = stage(blocks.groupBy("band", "task").applyInArrow(_meet, "a long, b long"), "blocks")
     labels = components(links.unionByName(more).unionByName(most))
-    found = members.join(labels, "node", "left")
-    return found.select(F.when(~F.col("unnamed"), F.col("key")).alias(id_col), F.coalesce("comp", "node").alias("class_id"), F.col("node").alias("copy_of"))
+    named = stage(labels.join(classes.select("node", "rep"), "node"), "named")
+    tops = named.groupBy("comp").agg(F.min("rep").alias("top"))
+    labels = stage(named.select("node", "comp").join(tops, "comp").select("node", "top"), "tops")
+    return members.join(labels, "node", "left").select(*_ROW, "rep", F.coalesce("top", "rep").alias("top"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: its id, ``class_id`` (the least id of its class) and ``copy_of`` (its representative)."""
+    found = _classified(docs, id_col, text_col)
+    return found.select(F.when(~F.col("unnamed"), F.col("key")).alias(id_col), F.col("top.key").alias("class_id"), F.col("rep.key").alias("copy_of"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each class that stays: of its least id.  Rows without an id stay if no other is of their class."""
-    stays = near_classes(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("class_id")) | ((F.col("class_id") < 0) & F.col(id_col).isNull()))
-    stays = stays.select(F.col("copy_of").alias("_key")).distinct()
+    """One row of each class: of its least id.  Rows without an id stay if no other is of their class."""
+    found = stage(_classified(docs, id_col, text_col), "found")
+    stays = found.where((F.col("key") == F.col("top.key")) & (F.col("digest") == F.col("top.digest")))
+    stays = stage(stays.groupBy(F.col("key").alias("_key"), F.col("digest").alias("_digest")).agg(F.count("*").alias("_n")), "stays")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), -F.abs(F.xxhash64(text)) - 1)
-    return docs.withColumn("_key", key).join(stays, "_key", "left_semi").drop("_key").select(docs.columns)
+    kept = docs.withColumns({"_key": key, "_digest": F.xxhash64(text)}).join(stays, ["_key", "_digest"])
+    # rows that repeat the one that stays: few, so only these are dealt by it
+    alone, again = kept.where("_n = 1"), kept.where("_n > 1").dropDuplicates(["_key", "_digest"])
+    return alone.unionByName(again).select(docs.columns)
 
 
 def op5_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,8 +53,11 @@ def test_exact_groups(spark, awkward, empty):
 
 
 def test_exact_beyond_the_broadcast_bound(spark, awkward, monkeypatch):
+    """Shuffled joins give what broadcast ones do."""
+    rows = lambda: sorted(map(repr, exact_dedup.exact_dedup(awkward).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    broadcast = rows()
     monkeypatch.setattr(exact_dedup, "small", lambda df: df)
-    assert sorted(map(repr, exact_dedup.exact_dedup(awkward).select("doc_id", "keep_id", "kept").collect())) == sorted(map(repr, exact_dedup.exact_dedup(awkward).select("doc_id", "keep_id", "kept").collect()))
+    assert rows() == broadcast
 
 
 def luhn(d):
@@ -135,6 +138,34 @@ def test_near_classes(spark, awkward, empty, monkeypatch):
     assert stays.columns == awkward.columns and {r["doc_id"] for r in stays.collect()} == {1, 2, 4, 7, 10, None}
 
 
+def test_near_classes_of_repeated_ids(spark):
+    rng = random.Random(17)
+    a, b = ([rng.choice(WORDS) for _ in range(80)] for _ in range(2))
+    near = lambda t: " ".join([*t[:-1], "changed"])
+    docs = documents(spark, [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, "quite another text than those before")])
+    rows = sorted((r["doc_id"], r["class_id"]) for r in near_dedup.near_classes(docs).collect())
+    assert rows == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    stays = sorted((r["doc_id"], r["text"]) for r in near_dedup.drop_near_copies(docs).collect())
+    assert stays == sorted([(1, " ".join(a)), (1, " ".join(b)), (4, "quite another text than those before")])
+    same = documents(spark, [(1, "t u v w x"), (1, "t u v w x"), (2, "t u v w x")])
+    assert [r["doc_id"] for r in near_dedup.drop_near_copies(same).collect()] == [1]
+
+
+def test_recall_of_near_classes(spark):
+    """Of all pairs of similarity 0.8 or more that have an id divisible by 5, all are in one class."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    label = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(rows).collect()}
+    units = {r["doc_id"]: shingles.units(r["text"] or "") for r in rows.collect()}
+    found = total = 0
+    for i in (k for k in units if k % 5 == 0):
+        for j, other in units.items():
+            low, high = sorted((len(units[i]), len(other)))
+            if i != j and low >= 0.8 * high > 0 and near_dedup._overlap(units[i], other) >= near_dedup.THRESHOLD:
+                total += 1
+                found += label[i] == label[j]
+    assert total > 5 and found == total
+
+
 def test_bagminhash_is_unbiased():
     rng = np.random.default_rng(2)
     errors = []
