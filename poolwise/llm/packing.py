@@ -1,14 +1,16 @@
 """Packing along a space-filling curve: similar documents share sequences.
 
 A document's tokens, hashed to a vector of damped counts of length one, are projected to ``DIMS`` numbers
-by a seeded matrix and quantised; the place of that cell on a Hilbert curve is its key.  A document's full
-stretches of ``LENGTH`` tokens are sequences of their own.  What is left of each document is dealt by ranges
-of (key, id) and laid end to end along the curve, cut where a sequence is full; only the last sequence of a
-range is padded.  Ranges are sized by tokens, so padding is below one part in ``PER_RANGE / LENGTH``; keys
-that many documents share are split by id, and no task holds more than its range.
+by a seeded matrix and quantised; the place of that cell on a Hilbert curve is its key.  Documents are dealt
+by ranges of (key, id).  Along the curve, a document's full stretches of ``LENGTH`` tokens become the next
+sequences, and what is left of it goes to the open sequence, which is cut where it is full; only the last open
+sequence of a range is padded.  So ids of full and of filled sequences both follow the curve.  Ranges are sized
+by leftover tokens, so padding is below one part in ``PER_RANGE / LENGTH``; keys that many documents share are
+split by id, and no task holds more than its range.
 
 The texts are tokenized once, into a staged table that holds the leftover ids and the checksums of full
-stretches.  Sequence ids come from the partition and a counter, so a repeated task gives the same ones.
+stretches; the shuffle by key moves only these.  Sequence ids come from the partition and a counter, so a
+repeated task gives the same ones.
 
 Defined cases: a null text is empty and has the closing id alone; repeated rows are packed once each; a null
 id is packed like any other; other columns of the input are not read.
@@ -92,21 +94,37 @@ def _tokenized(vocabulary: str, length: int, seed: int, kind: str):
 _PIECE = pa.schema([(n, pa.int64()) for n in ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "curve_key")])
 
 
+_ROWS_AT_ONCE = 20_000
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(_PIECE)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_PIECE)
+
+
 def _packed(length: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence, offset = TaskContext.get().partitionId() << 32, 0
+        # the open sequence, the next free id, and the place in the open one
+        sequence, free, offset, rows = TaskContext.get().partitionId() << 32, (TaskContext.get().partitionId() << 32) + 1, 0, []
         for batch in batches:
-            rows = []
-            for doc, key, tokens, tail in zip(*(batch.column(n).to_pylist() for n in ("id", "key", "tokens", "tail")), strict=True):
-                ids = np.frombuffer(tail, kind).astype("<u4")
-                start, at = tokens - len(ids), 0
-                while at < len(ids):
-                    take = min(length - offset, len(ids) - at)
-                    rows.append((doc, start + at, take, zlib.crc32(ids[at : at + take].tobytes()), tokens, sequence, offset, key))
-                    at, offset = at + take, offset + take
-                    if offset == length:
-                        sequence, offset = sequence + 1, 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 8, schema=_PIECE)
+            for at in range(0, len(batch), 64):
+                part = batch.slice(at, 64)
+                for doc, key, tokens, heads, tail in zip(*(part.column(n).to_pylist() for n in ("id", "key", "tokens", "heads", "tail")), strict=True):
+                    for nth, crc in enumerate(heads):
+                        rows.append((doc, nth * length, length, crc, tokens, free, 0, key))
+                        free += 1
+                    ids = np.frombuffer(tail, kind).astype("<u4")
+                    start, at_id = len(heads) * length, 0
+                    while at_id < len(ids):
+                        take = min(length - offset, len(ids) - at_id)
+                        rows.append((doc, start + at_id, take, zlib.crc32(ids[at_id : at_id + take].tobytes()), tokens, sequence, offset, key))
+                        at_id, offset = at_id + take, offset + take
+                        if offset == length:
+                            sequence, free, offset = free, free + 1, 0
+                if len(rows) >= _ROWS_AT_ONCE:
+                    yield _pieces(rows)
+                    rows = []
+        yield _pieces(rows)
 
     return run
 
@@ -118,22 +136,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     table = stage(source.mapInArrow(_tokenized(vocabulary, length, seed, id_type(vocabulary)), "id long, key long, tokens long, heads array<long>, tail binary"), "tokens")
     left = table.agg(F.sum(F.col("tokens") % length)).first()[0] or 0
     ranges = max(1, -(-left // PER_RANGE))
-    tails = table.where(F.col("tokens") % length > 0).select("id", "key", "tokens", "tail")
-    tails = tails.repartitionByRange(ranges, "key", "id", "tokens").sortWithinPartitions("key", "id", "tokens", "tail")
-    pieces = tails.mapInArrow(_packed(length, id_type(vocabulary)), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long")
-    heads = table.where(F.size("heads") > 0).select("id", "key", "tokens", F.posexplode("heads").alias("nth", "crc"))
-    whole = heads.select(
-        "id",
-        (F.col("nth").cast("long") * length).alias("start"),
-        F.lit(length).cast("long").alias("length"),
-        F.col("crc").alias("ids_crc32"),
-        F.col("tokens").alias("doc_tokens"),
-        # above all ids of ranges; unique by partition and row
-        F.monotonically_increasing_id().bitwiseOR(F.lit(1 << 62)).alias("sequence_id"),
-        F.lit(0).cast("long").alias("offset"),
-        F.col("key").alias("curve_key"),
-    )
-    return pieces.unionByName(whole).withColumnRenamed("id", id_col)
+    dealt = table.repartitionByRange(ranges, "key", "id", "tokens").sortWithinPartitions("key", "id", "tokens", "tail", "heads")
+    pieces = dealt.mapInArrow(_packed(length, id_type(vocabulary)), "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve_key long")
+    return pieces.withColumnRenamed("id", id_col)
 
 
 def op6_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

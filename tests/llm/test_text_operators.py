@@ -224,6 +224,14 @@ def test_packing(spark, awkward, empty):
                 at += p["length"]
             assert at <= length
         assert set(by_doc) == set(ids)
+        # full stretches and filled sequences each follow the curve, and only a range's last sequence is padded
+        keys = dict(zip(ids, packing.curve_keys(list(ids.values()), packing.projection()).tolist(), strict=True))
+        assert all(p["curve_key"] == keys[p["doc_id"]] for p in pieces)
+        full = {s for s, parts in by_sequence.items() if len(parts) == 1 and parts[0]["start"] % length == 0 and parts[0]["length"] == length}
+        for chosen in (full, set(by_sequence) - full):
+            along = [p["curve_key"] for s in sorted(chosen) for p in sorted(by_sequence[s], key=lambda p: p["offset"])]
+            assert along == sorted(along)
+        assert full and len(by_sequence) == -(-sum(map(len, ids.values())) // length)
     assert packing.pack(empty).count() == 0
     assert len({(p["sequence_id"], p["offset"]) for p in packing.pack(awkward).collect() if p["doc_id"] == 9}) == 2
 
@@ -235,6 +243,14 @@ def test_hilbert_curve_is_continuous():
     assert sorted(packing.hilbert(cells, 4)) == list(range(n * n)) and (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
+def test_hilbert_curve_in_as_many_dimensions_as_are_used():
+    n = 1 << 3
+    cells = np.stack(np.meshgrid(*[np.arange(n)] * packing.DIMS), -1).reshape(-1, packing.DIMS)
+    keys = packing.hilbert(cells, 3)
+    walk = cells[np.argsort(keys)]
+    assert sorted(keys) == list(range(n**packing.DIMS)) and (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
+
+
 def test_mixing_budgets(spark, awkward, empty):
     rng = random.Random(8)
     texts = [(k, " ".join(rng.choices(WORDS, k=rng.randint(0, 60)))) for k in range(300)]
