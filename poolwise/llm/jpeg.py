@@ -384,7 +384,20 @@ def _read_refine(reader: Reader, table: Table, flat: np.ndarray, width: int, low
 
 
 def decode(data: bytes) -> tuple[list[np.ndarray], dict]:
-    """Coefficient arrays of the components after all scans, and the frame."""
+    """Coefficient arrays of the components after all scans, and the frame.
+
+    ``ValueError`` for frames that it does not read: not progressive, other components than three sampled 4:2:0
+    or 4:4:4, sizes that do not fill groups, first coefficients coded apart or by several tables, broken files.
+    """
+    try:
+        return _decode(data)
+    except (IndexError, KeyError, AttributeError, TypeError, struct.error) as e:
+        raise ValueError("not a whole progressive file") from e
+
+
+def _decode(data: bytes) -> tuple[list[np.ndarray], dict]:
+    if data[:2] != b"\xff\xd8":
+        raise ValueError("no start of image")
     at, tables, frame, coefs, restart = 2, {}, {}, [], 0
     while at < len(data):
         marker = data[at + 1]
@@ -395,7 +408,12 @@ def decode(data: bytes) -> tuple[list[np.ndarray], dict]:
         if marker == 0xFE:
             frame["comment"] = body
         elif marker == 0xDB:
-            frame.setdefault("quant", {})[body[0] & 15] = np.frombuffer(body[1:65], np.uint8).astype(np.int64)
+            while body:
+                wide = 128 if body[0] >> 4 else 64
+                if len(body) <= wide:
+                    raise ValueError("a quantiser table ends early")
+                frame.setdefault("quant", {})[body[0] & 15] = np.frombuffer(body[1 : 1 + wide], ">u2" if wide > 64 else np.uint8).astype(np.int64)
+                body = body[1 + wide :]
         elif marker == 0xDD:
             restart = struct.unpack(">H", body)[0]
         elif marker == 0xC4:
@@ -404,9 +422,12 @@ def decode(data: bytes) -> tuple[list[np.ndarray], dict]:
                 tables[body[0]] = _table(body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
         elif marker == 0xC2:
-            _, height, width, _ = struct.unpack(">BHHB", body[:6])
+            _, height, width, n = struct.unpack(">BHHB", body[:6])
             sampling = body[7] >> 4
             side = 8 * sampling
+            if n != 3 or body[6::3] != b"\x01\x02\x03" or body[7::3] != bytes([sampling << 4 | sampling, 0x11, 0x11]) or not (height and width and sampling) or height % side or width % side:
+                raise ValueError("components other than three of 4:2:0 or 4:4:4, or sizes that do not fill groups")
+            frame["tables"] = tuple(body[8::3])
             frame |= {"height": height, "width": width, "sampling": sampling, "wide": -(-width // side), "high": -(-height // side)}
             n = frame["wide"] * frame["high"]
             coefs = [np.zeros((n * s * s, 64), np.int16) for s in (sampling, 1, 1)]
@@ -420,6 +441,8 @@ def decode(data: bytes) -> tuple[list[np.ndarray], dict]:
             readers = [Reader(p) for p in _RST.split(data[at:stop])]
             at = stop
             if first == 0:
+                if comps != [0, 1, 2] or last or (not up and len({body[2 + 2 * k] >> 4 for k in comps}) > 1):
+                    raise ValueError("a scan of first coefficients with other than all components and one table")
                 owner, block = block_order(frame["wide"], frame["high"], frame["sampling"])
                 step = (restart or len(owner)) * (frame["sampling"] ** 2 + 2)
                 every = np.concatenate([c[:, 0] for c in coefs])
@@ -435,6 +458,10 @@ def decode(data: bytes) -> tuple[list[np.ndarray], dict]:
                     band = np.ascontiguousarray(whole[rows, first : last + 1])
                     (_read_refine if up else _read_first)(reader, table, band.reshape(-1), band.shape[1], low)
                     whole[rows, first : last + 1] = band
+    else:
+        raise ValueError("no end of image")
+    if not coefs or not set(frame["tables"]) <= set(frame.get("quant", {})):
+        raise ValueError("no progressive frame, or no quantiser for a component")
     return coefs, frame
 
 
@@ -464,7 +491,7 @@ def plane(blocks: np.ndarray, quant: np.ndarray, wide: int) -> np.ndarray:
 def rgb(coefs: list[np.ndarray], frame: dict) -> np.ndarray:
     """(height, width, 3) of uint8; chroma planes are repeated to the size of luma."""
     s = frame["sampling"]
-    y, cb, cr = (plane(c, frame["quant"][0], frame["wide"] * k) for c, k in zip(coefs, (s, 1, 1), strict=True))
+    y, cb, cr = (plane(c, frame["quant"][t], frame["wide"] * k) for c, t, k in zip(coefs, frame["tables"], (s, 1, 1), strict=True))
     out = np.empty((*y.shape, 3), np.uint8)
     y += 128.5
     for k, part in enumerate((1.402 * cr, -0.344136 * cb - 0.714136 * cr, 1.772 * cb)):

@@ -5,12 +5,13 @@ is the coefficient 256 + b, 64 to a block in zigzag order, so each 384 bytes are
 the two chroma blocks of one 16 x 16 group.  Quantisers are 1, hence nothing is lost; the format's unit is
 the coefficient.  A nearly square frame is filled up with spaces, and a comment holds the payload's length.
 
-``to_media`` makes the files, ``from_media`` reads any progressive 4:2:0 or 4:4:4 file back: scans add up
+``to_media`` makes the files, ``from_media`` reads such progressive 4:2:0 or 4:4:4 files back: scans add up
 in coefficient arrays, an inverse transform in numpy gives planes, chroma is brought to full resolution,
 and the RGB tensor is stored as bytes with its shape.  Both work row by row; rows never meet.
 
 Defined cases: null and empty texts are 192 spaces; equal texts give equal files; a null id or repeated row
-is converted like any other; other columns are not read.
+is converted like any other; other columns are not read.  ``from_media`` gives no pixels for a null file, and
+nulls for bytes that are no such file (``jpeg.decode`` lists what it does not read).
 """
 
 from __future__ import annotations
@@ -80,12 +81,16 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def _tensors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            pixels = jpeg.rgb(*jpeg.decode(data)) if data else np.zeros((0, 0, 3), np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([pixels.shape[0]], pa.int32()), pa.array([pixels.shape[1]], pa.int32()), pa.array([pixels.tobytes()], pa.binary())], ["id", "height", "width", "rgb"])
+            try:
+                pixels = jpeg.rgb(*jpeg.decode(data)) if data is not None else np.zeros((0, 0, 3), np.uint8)
+                height, width, rgb = *pixels.shape[:2], pixels.tobytes()
+            except ValueError:
+                height = width = rgb = None
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([height], pa.int32()), pa.array([width], pa.int32()), pa.array([rgb], pa.binary())], ["id", "height", "width", "rgb"])
 
 
 def from_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per input row: id, ``height``, ``width`` and ``rgb`` (rows of three bytes a pixel); a null file has no pixels."""
+    """One row per input row: id, ``height``, ``width`` and ``rgb`` (rows of three bytes a pixel); null where the file is not read."""
     ship(media.sparkSession)
     return media.select(F.col(id_col).cast("long").alias("id"), media_col).mapInArrow(_tensors, "id long, height int, width int, rgb binary").withColumnRenamed("id", id_col)
 

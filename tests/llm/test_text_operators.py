@@ -588,3 +588,26 @@ def test_media(spark, awkward, empty):
     assert len({r["media_sha256"] for r in rows if r["doc_id"] in (1, 9)}) == 1
     tensors = media.from_media(media.to_media(awkward)).collect()
     assert all(len(r["rgb"]) == r["height"] * r["width"] * 3 > 0 for r in tensors) and media.to_media(empty).count() == 0
+
+
+def test_files_of_other_makers(spark):
+    rng = np.random.RandomState(3)
+    coefs = [rng.randint(-3, 4, (n, 64)).astype(np.int16) for n in (4, 1, 1)]
+    for c in coefs:
+        c[:, 8:] = 0
+    file = jpeg.encode(coefs, 1, 1)
+    # chroma by a table of its own, in the same segment as luma's
+    two = file.replace(b"\xff\xdb\x00\x43\x00" + b"\x01" * 64, b"\xff\xdb\x00\x84\x00" + b"\x01" * 64 + b"\x01" + b"\x09" * 64)
+    two = two.replace(bytes([2, 0x11, 0, 3, 0x11, 0]), bytes([2, 0x11, 1, 3, 0x11, 1]))
+    back, frame = jpeg.decode(two)
+    assert frame["tables"] == (0, 1, 1) and all((a == b).all() for a, b in zip(back, coefs, strict=True))
+    y, cb, cr = (jpeg.plane(c, np.full(64, q), w) for c, q, w in zip(coefs, (1, 9, 9), (2, 1, 1), strict=True))
+    cr = np.repeat(np.repeat(cr, 2, 0), 2, 1)
+    assert np.abs(jpeg.rgb(back, frame)[..., 0].astype(float) - np.clip(y + 128.5 + 1.402 * cr, 0, 255)).max() <= 1
+    odd = file.replace(bytes([8, 0, 16, 0, 16, 3]), bytes([8, 0, 15, 0, 16, 3]))
+    bad = [b"", b"\xff", b"no picture", b"\xff\xd8\xff\xd9", file[:-40], file[:60], two.replace(bytes([2, 0x11, 1]), bytes([2, 0x11, 2])), odd]
+    rows = [(k, bytearray(x)) for k, x in enumerate([file, two, *bad])] + [(99, None)]
+    got = {r["doc_id"]: r for r in media.from_media(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert odd != file and all((got[k]["height"], got[k]["width"], len(got[k]["rgb"])) == (16, 16, 768) for k in (0, 1))
+    assert got[0]["rgb"] != got[1]["rgb"] and got[99]["height"] == 0
+    assert all(got[k]["height"] is None and got[k]["rgb"] is None for k in range(2, 2 + len(bad)))
