@@ -1,11 +1,11 @@
 """Not-modified revisits of a web archive, resolved to the response they stand for.
 
 A capture is a full response or a revisit that a server answered with 304.  A revisit belongs to the latest
-earlier full response of the same canonical URL: an as-of join.  Captures are dealt by URL and time bucket.
-The last response of each bucket, one narrow row per (URL, bucket) made by partial aggregates, is carried to
-the head of the next buckets that have captures, so a bucket is complete by itself: an ordered window over
-it finds the response of every revisit.  A URL with a third of all captures is spread over its buckets, and
-no join by URL takes place.
+earlier full response of the same canonical URL: an as-of join.  Captures are dealt in ranges of (URL, time,
+kind, id), so each range is a chunk of about equal size and a URL with a third of all captures, even within
+one second, is spread over a third of the chunks.  The last response of each chunk, a narrow row per (URL,
+chunk) made by partial aggregates, is carried to the head of the URL's next chunks, so a chunk is complete
+by itself: an ordered window over it finds the response of every revisit.  No join by URL takes place.
 
 A resolved revisit is ``verified`` if its validators (entity tag, compared weakly; last modification; payload
 digest) that both captures have agree and there is one at least, ``conflict`` if any disagrees,
@@ -31,7 +31,6 @@ from poolwise.llm.staging import stage
 #: Headers that a not-modified answer may update (HTTP caching), and parameters that only track.
 UPDATABLE = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "server", "vary", "via", "warning")
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "ref", "sessionid", "phpsessid")
-BUCKET_SECONDS = 86_400
 #: Columns of captures.
 CAPTURE = "record_id long, url string, at timestamp, status int, headers map<string,string>, digest string"
 
@@ -62,31 +61,34 @@ def _same(a: Column, b: Column) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), a == b)
 
 
-def resolve_revisits(captures: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def resolve_revisits(captures: DataFrame, chunks: int | None = None) -> DataFrame:
     """One row per revisit (status 304): ``record_id, canonical, response_id, response_at, state, headers, digest``.
 
-    ``headers`` are the response's with what the revisit may update, ``digest`` is the response's.
+    ``headers`` are the response's with what the revisit may update, ``digest`` is the response's.  ``chunks``
+    fixes the number of ranges; by default it follows the session's shuffle partitions and the data's size.
     """
     folded = _folded(F.col("headers"))
     rows = captures.select(
         "record_id", canonical_url(F.col("url")).alias("canonical"), "at", (F.col("status") == 304).alias("revisit"), folded.alias("headers"), "digest",
-        F.floor(F.coalesce(F.unix_micros("at"), F.lit(-(1 << 62))) / F.lit(bucket_seconds * 1_000_000)).cast("long").alias("bucket"),
     ).where(F.col("revisit") | F.coalesce(F.col("status").between(200, 299), F.lit(False)))
     rows = rows.withColumn("revisit", F.coalesce("revisit", F.lit(False)))
     # captures without a URL stand alone
     key = F.when(F.col("canonical") == "", F.concat(F.lit("\x00"), F.coalesce(F.col("record_id").cast("string"), F.lit("")))).otherwise(F.col("canonical"))
-    rows = stage(rows.withColumn("key", key), "captures")
+    keyed = rows.withColumn("key", key)
+    place = ("key", "at", "revisit", "record_id")
+    ranges = keyed.repartitionByRange(*place) if chunks is None else keyed.repartitionByRange(chunks, *place)
+    rows = stage(ranges.withColumn("chunk", F.spark_partition_id()), "captures")
     order = F.struct(F.col("at").alias("at"), F.col("record_id").alias("id"))
     response = F.struct(order.alias("order"), F.col("record_id").alias("id"), F.col("at").alias("at"), "headers", "digest")
-    # one row for each bucket that has captures, also where none of them is a response
+    # one row for each chunk that a URL lies in, also where none of its captures there is a response
     is_response = ~F.col("revisit")
-    heads = rows.groupBy("key", "bucket").agg(F.max_by(F.when(is_response, response), F.when(is_response, order)).alias("head"))
-    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy("key", "chunk").agg(F.max_by(F.when(is_response, response), F.when(is_response, order)).alias("head"))
+    earlier = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = heads.withColumn("head", F.last("head", ignorenulls=True).over(earlier)).where("head IS NOT NULL")
-    carried = carried.select("key", "bucket", F.lit(-1).alias("turn"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("long").alias("record_id"), F.lit(False).alias("revisit"), "head", F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("string").alias("digest"))
-    own = rows.select("key", "bucket", F.when(F.col("revisit"), 1).otherwise(0).alias("turn"), "at", "record_id", "revisit", F.when(~F.col("revisit"), response).alias("head"), "canonical", "headers", "digest")
+    carried = carried.select("key", "chunk", F.lit(-1).alias("turn"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("long").alias("record_id"), F.lit(False).alias("revisit"), "head", F.lit(None).cast("string").alias("canonical"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("string").alias("digest"))
+    own = rows.select("key", "chunk", F.when(F.col("revisit"), 1).otherwise(0).alias("turn"), "at", "record_id", "revisit", F.when(~F.col("revisit"), response).alias("head"), "canonical", "headers", "digest")
     every = own.unionByName(carried)
-    within = Window.partitionBy("key", "bucket").orderBy(F.expr("turn <> -1"), "at", "turn", "record_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("key", "chunk").orderBy(F.expr("turn <> -1"), "at", "turn", "record_id").rowsBetween(Window.unboundedPreceding, 0)
     found = every.withColumn("of", F.last("head", ignorenulls=True).over(within)).where("revisit AND canonical IS NOT NULL")
     of = F.col("of")
     checks = F.array(

@@ -202,11 +202,17 @@ def test_as_of_against_plain(spark):
         headers = {k: v for k, v in (("etag", rng.choice(['"a"', 'W/"a"', '"b"', None])), ("last-modified", rng.choice(["x", None, None]))) if v}
         captures.append((rid, url, at(rng.randrange(300) / 3), rng.choice([200, 304, 304, 404, None]), headers, rng.choice([None, "d1", "d1", "d2"])))
     df = spark.createDataFrame(captures, revisits.CAPTURE).repartition(5)
-    for bucket in (86_400, 3_600, 40_000_000):
-        got = {r["record_id"]: (r["response_id"], r["state"]) for r in revisits.resolve_revisits(df, bucket).collect()}
+    for chunks in (None, 1, 7, 60):
+        got = {r["record_id"]: (r["response_id"], r["state"]) for r in revisits.resolve_revisits(df, chunks).collect()}
         assert got == plain_revisits(captures)
 
 
+def test_a_url_of_one_second_is_split(spark):
+    captures = [(rid, "http://hot.org/p", at(1), 200 if rid % 40 == 7 else 304, {"etag": f'"{rid % 3}"'}, None) for rid in range(400)]
+    got = {r["record_id"]: (r["response_id"], r["state"]) for r in revisits.resolve_revisits(spark.createDataFrame(captures, revisits.CAPTURE), 16).collect()}
+    assert got == plain_revisits(captures) and {of for of, _ in got.values()} == {367}
+
+
 def test_headers_merge(spark):
     full = (1, "HTTP://www.A.org:80/x/index.html?b=2&utm_source=f&a=1#top", at(1), 200, {"ETag": '"v"', "Content-Type": "text/html", "Date": "old", "Set-Cookie": "s"}, "d")
     seen = (2, "https://a.org/x?a=1&b=2", at(2), 304, {"etag": 'W/"v"', "DATE": "new", "Content-Length": "0"}, None)
