@@ -10,11 +10,14 @@ for that the rows of a class, at most a pool, are held together.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from poolwise.functions import answers
+from poolwise.functions.latex import numeric_key
 from poolwise.functions.scalars import finite, safe_exp
 
 METHODS = ("random", "majority", "self_certainty", "verifier", "verifier_argmax", "oracle")
@@ -39,29 +42,40 @@ def merge_map(keyed: DataFrame) -> DataFrame:
     if verify is None:
         return seen.select("problem_id", "key", F.col("key").alias("rep"))
 
-    def merge(pool):
-        import pandas as pd
-
-        pool = pool.sort_values("first")
-        classes: list[list] = []
-        for row in pool.itertuples():
-            home = None
-            if len(pool) <= MERGE_LIMIT:
-                home = next((c for c in classes if _means_same(verify, c[0].key, row.key)), None)
-            (home if home is not None else classes.append([]) or classes[-1]).append(row)
-        pairs = [(m.key, max(c, key=lambda r: (r.n, -r.first)).key) for c in classes for m in c]
-        return pd.DataFrame([(pool["problem_id"].iloc[0], k, r) for k, r in pairs], columns=["problem_id", "key", "rep"])
-
-    return seen.groupBy("problem_id").applyInPandas(merge, f"problem_id {keyed.schema['problem_id'].dataType.simpleString()}, key string, rep string")
-
-
-def _means_same(verify, a: str, b: str) -> bool:
-    from poolwise.functions.latex import numeric_key
-
-    if numeric_key(a) is not None and numeric_key(b) is not None:
+    problem = keyed.schema["problem_id"].dataType.simpleString()
+    member = F.struct(F.coalesce("first", F.lit(1 << 62)).cast("long").alias("first"), "key", "n")
+    pools = seen.groupBy("problem_id").agg(F.sort_array(F.collect_list(member)).alias("members"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(at, key, rep) for at, members in enumerate(batch.column(1).to_pylist()) for key, rep in _classes(members, verify)]
+            at, keys, reps = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string()), pa.array(reps, pa.string())], ["problem_id", "key", "rep"])
+
+    return pools.mapInArrow(merge, f"problem_id {problem}, key string, rep string")
+
+
+def _classes(members: list[dict], verify: Callable[[str, str], bool]) -> Iterator[tuple[str, str]]:
+    """(key, representative) of a pool's distinct keys, which come in the order in which they were first seen."""
+    homes: list[list[dict]] = []
+    for m in members:
+        m["number"] = numeric_key(m["key"]) is not None
+        alike = (c for c in homes if _means_same(verify, c[0], m)) if len(members) <= MERGE_LIMIT else iter(())
+        home = next(alike, None)
+        if home is None:
+            homes.append([m])
+        else:
+            home.append(m)
+    for home in homes:
+        rep = max(home, key=lambda m: (m["n"], -m["first"]))["key"]
+        yield from ((m["key"], rep) for m in home)
+
+
+def _means_same(verify: Callable[[str, str], bool], a: dict, b: dict) -> bool:
+    if a["number"] and b["number"]:
         return False
     try:
-        return bool(verify(a, b))
+        return bool(verify(a["key"], b["key"]))
     except Exception:  # a malformed answer equals nothing
         return False
 
