@@ -3,8 +3,9 @@
 A pool is the rows of one ``problem_id``; ``sample_idx`` is its order and breaks every tie.  ``key`` is the
 normalised answer, empty for a trajectory that abstains.  A vote is two aggregations on the problem's key,
 the first of which is combined on the map side; with the input already partitioned by ``problem_id`` both
-run without a further exchange.  Weights are added in the order of ``sample_idx``, so equal votes tie exactly;
-for that the rows of a class, at most a pool, are held together.
+run without a further exchange.  Weights are added in the order of ``sample_idx``, so a sum is always the same;
+for that the rows of a class, at most a pool, are held together.  Exponentials that are added in another order
+differ in their last digits, so the sums of self-certainty are compared at 12 places, as in their SQL.
 """
 
 from __future__ import annotations
@@ -87,10 +88,15 @@ def merged(keyed: DataFrame) -> DataFrame:
     return keyed.join(merge_map(keyed), ["problem_id", "key"], "left").withColumn("rep", F.coalesce("rep", "key"))
 
 
-def ordered_sum(weight: Column) -> Column:
-    """Sum of a group's weights, added one by one in the order of ``sample_idx``."""
+def ordered_sum(weight: Column, finish: Callable[[Column], Column] | None = None) -> Column:
+    """Sum of a group's weights, added one by one in the order of ``sample_idx``; ``finish`` of it, if given."""
     rows = F.array_sort(F.collect_list(F.struct(F.col("sample_idx"), weight.alias("w"))))
-    return F.aggregate(rows, F.lit(0.0), lambda a, x: a + x["w"])
+    return F.aggregate(rows, F.lit(0.0), lambda a, x: a + x["w"], finish)
+
+
+def _settled(total: Column) -> Column:
+    """A sum at 12 places; one too small for that keeps its digits."""
+    return F.when(total < 1e-6, total).otherwise(F.round(total, 12))
 
 
 def vote_tally(keyed: DataFrame, weight: Column | None = None) -> DataFrame:
@@ -169,7 +175,7 @@ def _class_parts(methods: tuple[str, ...], seed: int) -> list[Column]:
     if {"majority", *WEIGHTED} & set(methods):
         out += [F.count("*").alias("_n"), F.min("sample_idx").alias("_first")]
     if "self_certainty" in methods:
-        out.append(ordered_sum(F.when(finite(F.col("logprob")), safe_exp(F.col("logprob"))).otherwise(0.0)).alias("_w_self_certainty"))
+        out.append(ordered_sum(F.when(finite(F.col("logprob")), safe_exp(F.col("logprob"))).otherwise(0.0), _settled).alias("_w_self_certainty"))
     if "verifier" in methods:
         out.append(ordered_sum(F.when(scored, F.col("score")).otherwise(0.0)).alias("_w_verifier"))
     if "random" in methods:

@@ -37,6 +37,16 @@ def test_near_ties_add_in_order(spark):
     assert chosen(df.orderBy(F.desc("sample_idx")), "verifier") == "a"
 
 
+#: "a" and "b" have the same log-probabilities; added in their own orders, the sum of "b" is greater by its last digit.
+NEAR_TIE = [("a", 0, p) for p in (-0.125, -0.25, -0.625)] + [("b", 0, p) for p in (-0.625, -0.25, -0.125)]
+
+
+def test_all_selectors_tie_at_twelve_places(spark):
+    x, y, z = map(math.exp, (-0.125, -0.25, -0.625))
+    assert x + y + z < z + y + x
+    assert vote.all_selectors(pool(spark, *NEAR_TIE), "gold").first()["self_certainty"] == "a"
+
+
 def test_nan_and_missing_weights(spark):
     df = pool(spark, ("a", math.nan, math.nan), ("b", 0.25, None), ("a", None, math.inf), ("c", 0.25, -0.5))
     assert chosen(df, "verifier") == "b" and chosen(df, "self_certainty") == "c" and chosen(df, "verifier_argmax") == "b"
