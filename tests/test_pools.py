@@ -47,6 +47,14 @@ def test_all_selectors_tie_at_twelve_places(spark):
     assert vote.all_selectors(pool(spark, *NEAR_TIE), "gold").first()["self_certainty"] == "a"
 
 
+def test_self_certainty_ties_at_twelve_places(spark):
+    assert chosen(pool(spark, *NEAR_TIE), "self_certainty") == "a"
+    assert chosen(pool(spark, *NEAR_TIE[3:], *NEAR_TIE[:3]), "self_certainty") == "b"
+    small = vote.select_answers(pool(spark, ("a", 0, -41.0), ("b", 0, -40.0), ("c", 0, -1000.0)), "self_certainty").first()
+    assert small["answer"] == "b" and not small["fell_back"]
+    assert chosen(pool(spark, ("a", 0, 0.0), ("b", 0, 800.0)), "self_certainty") == "b"
+
+
 def test_nan_and_missing_weights(spark):
     df = pool(spark, ("a", math.nan, math.nan), ("b", 0.25, None), ("a", None, math.inf), ("c", 0.25, -0.5))
     assert chosen(df, "verifier") == "b" and chosen(df, "self_certainty") == "c" and chosen(df, "verifier_argmax") == "b"
