@@ -38,7 +38,7 @@ def merge_map(keyed: DataFrame) -> DataFrame:
     MERGE_LIMIT of them; beyond that they stay as they are) are compared with the first member of each class;
     the most frequent member, first seen on ties, represents the class.
     """
-    seen = keyed.where(F.col("key") != "").groupBy("problem_id", "key").agg(F.count("*").alias("n"), F.min("sample_idx").alias("first"))
+    seen = voters(keyed).groupBy("problem_id", "key").agg(F.count("*").alias("n"), F.min("sample_idx").alias("first"))
     verify = answers.symbolic_backend()
     if verify is None:
         return seen.select("problem_id", "key", F.col("key").alias("rep"))
@@ -99,10 +99,17 @@ def _settled(total: Column) -> Column:
     return F.when(total < 1e-6, total).otherwise(F.round(total, 12))
 
 
+def voters(keyed: DataFrame, key: str = "key") -> DataFrame:
+    """Rows with a ``key``.  What is always true of a task's number keeps the filter from sinking below the Python
+    that makes keys, which would run there once more, in as many workers again."""
+    once = F.when(F.spark_partition_id() >= 0, F.col(key))
+    return keyed.withColumn(key, once).where(F.col(key) != "")
+
+
 def vote_tally(keyed: DataFrame, weight: Column | None = None) -> DataFrame:
     """(problem_id, rep, weight, first_idx) of every answer class; abstentions do not vote."""
     total = F.count("*").cast("double") if weight is None else ordered_sum(weight)
-    return merged(keyed).where(F.col("rep") != "").groupBy("problem_id", "rep").agg(total.alias("weight"), F.min("sample_idx").alias("first_idx"))
+    return voters(merged(keyed), "rep").groupBy("problem_id", "rep").agg(total.alias("weight"), F.min("sample_idx").alias("first_idx"))
 
 
 def check(trajectories: DataFrame, scores: bool, usable: Column, what: str) -> None:
@@ -210,7 +217,7 @@ def draw(seed: int) -> Column:
 
 def select_random_slot(trajectories: DataFrame, seed: int) -> DataFrame:
     """Seeded choice that depends on the number of voters alone, so pools of equal size take the same slot."""
-    voters = trajectories.where(F.col("key") != "").groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "key"))).alias("v"))
+    pools = voters(trajectories).groupBy("problem_id").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "key"))).alias("v"))
 
     @F.pandas_udf("int")
     def slot(n):
@@ -218,7 +225,7 @@ def select_random_slot(trajectories: DataFrame, seed: int) -> DataFrame:
 
         return n.map(lambda k: random.Random(seed).choice(range(k)))
 
-    chosen = voters.select("problem_id", F.get(F.col("v"), slot(F.size("v")))["key"].alias("answer"))
+    chosen = pools.select("problem_id", F.get(F.col("v"), slot(F.size("v")))["key"].alias("answer"))
     return trajectories.select("problem_id").distinct().join(chosen, "problem_id", "left").select("problem_id", F.coalesce("answer", F.lit("")).alias("answer"))
 
 

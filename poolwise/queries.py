@@ -171,7 +171,7 @@ def n_truncated(spark, sf_dir):
 
 @_query(T + "SELECT problem_id, sample_idx, key FROM t WHERE key <> ''")
 def voting(spark, sf_dir):
-    return _traj(spark, sf_dir).where("key <> ''").select("problem_id", "sample_idx", "key")
+    return vote.voters(_traj(spark, sf_dir)).select("problem_id", "sample_idx", "key")
 
 
 @_query(T + "SELECT problem_id, sample_idx, score FROM t WHERE score IS NOT NULL AND event_id % 13 <> 0")

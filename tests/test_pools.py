@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from poolwise import queries
 from poolwise.functions import answers, scalars
 from poolwise.operators import accounting, scoring, vote
 from poolwise.plans import statistics
@@ -245,3 +246,9 @@ def test_partitioned_votes_need_one_exchange(spark):
     keyed = fixtures.trajectories(spark, SF).select("problem_id", "sample_idx", "key").repartition("problem_id")
     plan = vote.select_answers(keyed, "majority")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name", ["merge_map", "vote_tally", "voting"])
+def test_filter_on_keys_does_not_repeat_python(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 2  # the answer, and the key
