@@ -25,6 +25,8 @@ METHODS = ("random", "majority", "self_certainty", "verifier", "verifier_argmax"
 WEIGHTED = ("self_certainty", "verifier")
 #: Pools with more distinct answers than this are compared as text even if a symbolic backend is installed.
 MERGE_LIMIT = 24
+#: Pools that are Python objects at once while answers are merged.
+MERGE_POOLS = 256
 
 
 def with_keys(trajectories: DataFrame, answer_col: str = "answer") -> DataFrame:
@@ -48,7 +50,7 @@ def merge_map(keyed: DataFrame) -> DataFrame:
     pools = seen.groupBy("problem_id").agg(F.sort_array(F.collect_list(member)).alias("members"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, MERGE_POOLS) for whole in batches for at in range(0, whole.num_rows, MERGE_POOLS)):
             rows = [(at, key, rep) for at, members in enumerate(batch.column(1).to_pylist()) for key, rep in _classes(members, verify)]
             at, keys, reps = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.string()), pa.array(reps, pa.string())], ["problem_id", "key", "rep"])

@@ -111,6 +111,17 @@ def test_merging_with_a_backend(spark):
         answers.set_symbolic_backend(None)
 
 
+def test_merging_more_pools_than_are_read_at_once(spark):
+    n = 2 * vote.MERGE_POOLS + 1
+    rows = spark.range(n).selectExpr("id AS problem_id", "explode(array('x', 'y', 'y', '7')) AS key").withColumn("sample_idx", F.monotonically_increasing_id())
+    answers.set_symbolic_backend(lambda a, b: {a, b} == {"x", "y"})
+    try:
+        got = vote.merge_map(rows.coalesce(1)).collect()
+    finally:
+        answers.set_symbolic_backend(None)
+    assert sorted(got) == sorted((k, *pair) for k in range(n) for pair in (("x", "y"), ("y", "y"), ("7", "7")))
+
+
 def test_accounting(spark):
     df = pool(spark, ("a", 0, 0.0), ("a", 0, 0.0), ("b", 0, 0.0), ("", 0, 0.0), gold="A")
     df = df.withColumns({"finish_reason": F.when(F.col("key") == "", "length"), "n_tokens": F.lit(None).cast("int"), "answer": F.col("key")})
@@ -248,7 +259,7 @@ def test_partitioned_votes_need_one_exchange(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
-@pytest.mark.parametrize("name", ["merge_map", "vote_tally", "voting"])
+@pytest.mark.parametrize("name", ["merge_map", "merge_map_symbolic", "vote_tally", "voting"])
 def test_filter_on_keys_does_not_repeat_python(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 2  # the answer, and the key
