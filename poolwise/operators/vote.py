@@ -3,9 +3,10 @@
 A pool is the rows of one ``problem_id``; ``sample_idx`` is its order and breaks every tie.  ``key`` is the
 normalised answer, empty for a trajectory that abstains.  A vote is two aggregations on the problem's key,
 the first of which is combined on the map side; with the input already partitioned by ``problem_id`` both
-run without a further exchange.  Weights are added in the order of ``sample_idx``, so a sum is always the same;
+run without a further exchange.  Scores are added in the order of ``sample_idx``, so a sum is always the same;
 for that the rows of a class, at most a pool, are held together.  Exponentials that are added in another order
-differ in their last digits, so the sums of self-certainty are compared at 12 places, as in their SQL.
+differ in their last digits, by more the larger the pool; their sums keep what each addition loses, and are compared
+at 12 places, as in their SQL.
 """
 
 from __future__ import annotations
@@ -90,10 +91,25 @@ def merged(keyed: DataFrame) -> DataFrame:
     return keyed.join(merge_map(keyed), ["problem_id", "key"], "left").withColumn("rep", F.coalesce("rep", "key"))
 
 
-def ordered_sum(weight: Column, finish: Callable[[Column], Column] | None = None) -> Column:
-    """Sum of a group's weights, added one by one in the order of ``sample_idx``; ``finish`` of it, if given."""
+def ordered_sum(weight: Column) -> Column:
+    """Sum of a group's weights, added one by one in the order of ``sample_idx``."""
     rows = F.array_sort(F.collect_list(F.struct(F.col("sample_idx"), weight.alias("w"))))
-    return F.aggregate(rows, F.lit(0.0), lambda a, x: a + x["w"], finish)
+    return F.aggregate(rows, F.lit(0.0), lambda a, x: a + x["w"])
+
+
+def settled_sum(weight: Column) -> Column:
+    """Sum at 12 places of a group's weights, none below 0; the same weights in another order have the same sum.
+
+    They are added from the greatest, so that (a - total) + w is just what an addition loses; that is added at the end.
+    """
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("lost"))
+
+    def add(a: Column, w: Column) -> Column:
+        total = a["total"] + w
+        return F.struct(total.alias("total"), (a["lost"] + ((a["total"] - total) + w)).alias("lost"))
+
+    exact = lambda a: F.when(a["total"] < float("inf"), a["total"] + a["lost"]).otherwise(a["total"])
+    return F.aggregate(F.sort_array(F.collect_list(weight), asc=False), start, add, lambda a: _settled(exact(a)))
 
 
 def _settled(total: Column) -> Column:
@@ -184,7 +200,7 @@ def _class_parts(methods: tuple[str, ...], seed: int) -> list[Column]:
     if {"majority", *WEIGHTED} & set(methods):
         out += [F.count("*").alias("_n"), F.min("sample_idx").alias("_first")]
     if "self_certainty" in methods:
-        out.append(ordered_sum(F.when(finite(F.col("logprob")), safe_exp(F.col("logprob"))).otherwise(0.0), _settled).alias("_w_self_certainty"))
+        out.append(settled_sum(F.when(finite(F.col("logprob")), safe_exp(F.col("logprob"))).otherwise(0.0)).alias("_w_self_certainty"))
     if "verifier" in methods:
         out.append(ordered_sum(F.when(scored, F.col("score")).otherwise(0.0)).alias("_w_verifier"))
     if "random" in methods:

@@ -56,6 +56,16 @@ def test_self_certainty_ties_at_twelve_places(spark):
     assert chosen(pool(spark, ("a", 0, 0.0), ("b", 0, 800.0)), "self_certainty") == "b"
 
 
+def test_self_certainty_ties_in_large_pools(spark):
+    """Both answers have the same weights; added in order, which loses more than 12 places bear, "b" has 2e-13 more."""
+    low, high = [("a", 0, -0.125)] * 60, [("a", 0, -0.75)] * 60
+    df = pool(spark, *low, *high, *(("b", *w) for _, *w in high + low))
+    assert chosen(df, "self_certainty") == "a" == chosen(df.orderBy(F.desc("sample_idx")).repartition(5), "self_certainty")
+    assert vote.all_selectors(df, "gold").first()["self_certainty"] == "a"
+    got = df.groupBy("key").agg(vote.settled_sum(F.exp("logprob")).alias("w")).collect()
+    assert {r["w"] for r in got} == {round(math.fsum([math.exp(-0.125), math.exp(-0.75)] * 60), 12)}
+
+
 def test_nan_and_missing_weights(spark):
     df = pool(spark, ("a", math.nan, math.nan), ("b", 0.25, None), ("a", None, math.inf), ("c", 0.25, -0.5))
     assert chosen(df, "verifier") == "b" and chosen(df, "self_certainty") == "c" and chosen(df, "verifier_argmax") == "b"
