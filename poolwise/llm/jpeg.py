@@ -489,9 +489,10 @@ def plane(blocks: np.ndarray, quant: np.ndarray, wide: int) -> np.ndarray:
 
 
 def rgb(coefs: list[np.ndarray], frame: dict) -> np.ndarray:
-    """(height, width, 3) of uint8; chroma planes are repeated to the size of luma."""
-    s = frame["sampling"]
-    y, cb, cr = (plane(c, frame["quant"][t], frame["wide"] * k) for c, t, k in zip(coefs, frame["tables"], (s, 1, 1), strict=True))
+    """(height, width, 3) of uint8; chroma planes are repeated to the size of luma.  A frame without ``tables`` has
+    one quantiser, of number 0."""
+    s, tables = frame["sampling"], frame.get("tables", (0, 0, 0))
+    y, cb, cr = (plane(c, frame["quant"][t], frame["wide"] * k) for c, t, k in zip(coefs, tables, (s, 1, 1), strict=True))
     out = np.empty((*y.shape, 3), np.uint8)
     y += 128.5
     for k, part in enumerate((1.402 * cr, -0.344136 * cb - 0.714136 * cr, 1.772 * cb)):
